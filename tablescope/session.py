@@ -55,3 +55,17 @@ def materialize(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_folder(spark), f"step-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A table known to be small, marked for broadcast after its size was checked.
+
+    Fetches at most ``max_rows`` + 1 rows. A larger table is returned as it is and Spark
+    picks a shuffle join for it.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
