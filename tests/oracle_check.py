@@ -47,7 +47,7 @@ def compare(spark_df, con, sql):
     if len(got[1]) != len(want[1]):
         return f"rows {len(got[1])} vs {len(want[1])}; {got[1][:2]} vs {want[1][:2]}"
     diff = [(a, b) for a, b in zip(got[1], want[1]) if a != b]
-    return f"{len(diff)} of {len(rows)} rows differ, first {diff[0]}" if diff else ""
+    return f"{len(diff)} of {len(rows)} rows differ, first {str(diff[0])[:600]}" if diff else ""
 
 
 def main():
