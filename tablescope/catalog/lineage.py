@@ -1 +1,165 @@
-QUERIES = {}
+"""Formula lineage over cell tables derived from orders: one sheet per ten orders."""
+
+from pyspark.sql import functions as F
+
+from tablescope.catalog import read
+from tablescope.operators import lineage as G
+
+C, L = F.col, F.lit
+
+
+def cells(s, d):
+    """Values in A, formulas in B to H: doubling, running total, ranges, cross-sheet, cycles, volatile, unknown."""
+    k = C("o_orderkey")
+    base = read(s, d, "orders").select(
+        F.floor(k / 10).cast("bigint").alias("n"), (k % 10 + 1).alias("r"), C("o_totalprice").cast("string").alias("price"), C("o_orderstatus").alias("status")
+    ).withColumn("sheet", F.concat(L("S"), C("n").cast("string")))
+    r, up = C("r").cast("string"), (C("r") - 1).cast("string")
+    first = C("r") == 1
+    loops = first & (C("n") % 7 == 0)
+
+    def cell(col, formula, value=None, when=None):
+        null = L(None).cast("string")
+        made = F.struct(
+            F.concat(L(col), r).alias("address"), (null if formula is None else formula).alias("formula"), (null if value is None else value).alias("value")
+        )
+        return made if when is None else F.when(when, made)
+
+    made = F.array(
+        cell("A", None, C("price")),
+        cell("B", F.concat(L("=A"), r, L("*2+$A"), r).substr(1, 20)),
+        cell("C", F.when(first, L("=B1")).otherwise(F.concat(L("=B"), r, L("+C"), up))),
+        cell("D", L("=SUM(A1:B10)"), when=first),
+        cell("E", F.concat(L("='S0'!A1+S"), (C("n") - 1).cast("string"), L("!D1")), when=first & (C("n") > 0)),
+        cell("F", L("=G1"), when=loops),
+        cell("G", L("=IF(A1,F1,0)"), when=loops),
+        cell("H", L("=F1+1"), when=loops),
+        cell("I", F.when(C("n") % 3 == 0, L("=TODAY()+A1")).when(C("n") % 3 == 1, L("=FOO(A1,\"BAR(1)\")")).otherwise(L("=PREDICT(A1,B1)+RANDBETWEEN(1,3)")), when=first),
+        cell("J", L("=Missing!A1+ZZ1"), when=first),
+        cell("K", None, L("=LEFT(A1,2)"), when=first),
+    )
+    return base.select("sheet", "n", "r", "status", F.explode(F.array_compact(made)).alias("c")).select("sheet", "n", "r", "status", "c.*")
+
+
+_CELLS = """
+    o AS (SELECT o_orderkey // 10 AS n, o_orderkey % 10 + 1 AS r, CAST(o_totalprice AS VARCHAR) AS price, o_orderstatus AS status FROM orders),
+    cells AS (
+        SELECT 'S' || n AS sheet, n, r, status, 'A' || r AS address, NULL AS formula FROM o
+        UNION ALL SELECT 'S' || n, n, r, status, 'B' || r, '=A' || r || '*2+$A' || r FROM o
+        UNION ALL SELECT 'S' || n, n, r, status, 'C' || r, CASE WHEN r = 1 THEN '=B1' ELSE '=B' || r || '+C' || (r - 1) END FROM o
+        UNION ALL SELECT 'S' || n, n, r, status, 'D1', '=SUM(A1:B10)' FROM o WHERE r = 1
+        UNION ALL SELECT 'S' || n, n, r, status, 'E1', '=''S0''!A1+S' || (n - 1) || '!D1' FROM o WHERE r = 1 AND n > 0
+        UNION ALL SELECT 'S' || n, n, r, status, 'F1', '=G1' FROM o WHERE r = 1 AND n % 7 = 0
+        UNION ALL SELECT 'S' || n, n, r, status, 'G1', '=IF(A1,F1,0)' FROM o WHERE r = 1 AND n % 7 = 0
+        UNION ALL SELECT 'S' || n, n, r, status, 'H1', '=F1+1' FROM o WHERE r = 1 AND n % 7 = 0
+        UNION ALL SELECT 'S' || n, n, r, status, 'I1', CASE n % 3 WHEN 0 THEN '=TODAY()+A1' WHEN 1 THEN '=FOO(A1,"BAR(1)")' ELSE '=PREDICT(A1,B1)+RANDBETWEEN(1,3)' END FROM o WHERE r = 1
+        UNION ALL SELECT 'S' || n, n, r, status, 'J1', '=Missing!A1+ZZ1' FROM o WHERE r = 1
+        UNION ALL SELECT 'S' || n, n, r, status, 'K1', NULL FROM o WHERE r = 1
+    )"""
+# Edges written out from the generator, independent of any reference pattern.
+_EDGES = f"""{_CELLS},
+    edges AS (
+        SELECT DISTINCT sheet || '!' || address AS cell, 'S' || dn || '!' || dep AS depends_on FROM (
+            SELECT sheet, address, n AS dn, 'A' || r AS dep FROM cells WHERE address[1] = 'B'
+            UNION ALL SELECT sheet, address, n, 'B' || r FROM cells WHERE address[1] = 'C'
+            UNION ALL SELECT sheet, address, n, 'C' || (r - 1) FROM cells WHERE address[1] = 'C' AND r > 1
+            UNION ALL SELECT sheet, address, n, x || i FROM cells, (VALUES ('A'), ('B')) t(x), range(1, 11) g(i) WHERE address = 'D1'
+            UNION ALL SELECT sheet, address, 0, 'A1' FROM cells WHERE address = 'E1'
+            UNION ALL SELECT sheet, address, n - 1, 'D1' FROM cells WHERE address = 'E1'
+            UNION ALL SELECT sheet, address, n, 'G1' FROM cells WHERE address = 'F1'
+            UNION ALL SELECT sheet, address, n, 'A1' FROM cells WHERE address = 'G1'
+            UNION ALL SELECT sheet, address, n, 'F1' FROM cells WHERE address IN ('G1', 'H1')
+            UNION ALL SELECT sheet, address, n, 'A1' FROM cells WHERE address = 'I1'
+            UNION ALL SELECT sheet, address, n, 'B1' FROM cells WHERE address = 'I1' AND n % 3 = 2
+            UNION ALL SELECT sheet, address, n, 'BAR1' FROM cells WHERE false
+        )
+    )"""
+_FORMULAS = "formulas AS (SELECT sheet || '!' || address AS cell FROM cells WHERE formula IS NOT NULL)"
+
+
+def _edges(s, d):
+    return G.formula_dependencies(cells(s, d))
+
+
+def _formula_cells(s, d):
+    return cells(s, d).filter(C("formula").isNotNull()).select(G.cell_key(C("sheet"), C("address")).alias("cell"))
+
+
+def _changed(s, d):
+    """Prices of some orders changed."""
+    return cells(s, d).filter(C("address").startswith("A") & (C("status") == "F") & (C("n") % 5 == 1)).select(
+        G.cell_key(C("sheet"), C("address")).alias("cell")
+    )
+
+
+_CHANGED = "changed AS (SELECT sheet || '!' || address AS cell FROM cells WHERE address[1] = 'A' AND status = 'F' AND n % 5 = 1)"
+
+
+def _closure(start):
+    return f"""WITH RECURSIVE {_EDGES}, {start}, hit AS (SELECT cell FROM changed UNION SELECT e.cell FROM edges e JOIN hit h ON e.depends_on = h.cell) SELECT cell FROM hit"""
+
+
+def _levels_sql(select):
+    """Longest path by union of (cell, length); cycles and what they feed have no level."""
+    return f"""
+        WITH RECURSIVE {_EDGES}, {_FORMULAS},
+        inner_edges AS (SELECT * FROM edges WHERE cell IN (FROM formulas) AND depends_on IN (FROM formulas)),
+        loops AS (SELECT sheet || '!' || address AS cell FROM cells WHERE address IN ('F1', 'G1', 'H1')),
+        bad AS (SELECT cell FROM loops UNION SELECT e.cell FROM inner_edges e JOIN bad b ON e.depends_on = b.cell),
+        steps AS (SELECT cell, 0::BIGINT AS level FROM formulas WHERE cell NOT IN (SELECT cell FROM inner_edges)
+                  UNION SELECT e.cell, p.level + 1 FROM inner_edges e JOIN steps p ON e.depends_on = p.cell WHERE e.cell NOT IN (FROM bad)),
+        levels AS (SELECT f.cell, CASE WHEN f.cell NOT IN (FROM bad) THEN max(level) END AS level FROM formulas f LEFT JOIN steps s ON s.cell = f.cell GROUP BY f.cell)
+        {select}"""
+
+
+def _audit(s, d):
+    out = G.formula_audit(cells(s, d))
+    return out.withColumn("functions", F.array_join("functions", ","))
+
+
+_AUDIT_SQL = f"""
+    WITH {_CELLS}, f AS (SELECT sheet || '!' || address AS cell, address, n, coalesce(formula, '=LEFT(A1,2)') AS formula FROM cells WHERE formula IS NOT NULL OR address = 'K1')
+    SELECT cell, formula, CASE WHEN address = 'D1' THEN 'SUM' WHEN address = 'G1' THEN 'IF' WHEN address = 'K1' THEN 'LEFT'
+           WHEN address = 'I1' THEN CASE n % 3 WHEN 0 THEN 'TODAY' WHEN 1 THEN 'FOO' ELSE 'PREDICT,RANDBETWEEN' END ELSE '' END AS functions,
+           address = 'I1' AND n % 3 <> 1 AS is_volatile, address = 'I1' AND n % 3 = 2 AS uses_predict, address = 'I1' AND n % 3 = 1 AS is_unsupported FROM f"""
+
+
+def _extract(s, d):
+    return G.extract_formulas(cells(s, d)).select("sheet", "address", "formula")
+
+
+def _sheet_catalog(s, d):
+    from tablescope.sources.workbook import sheet_catalog
+
+    r, c = G.parse_address(C("address"))
+    placed = cells(s, d).select(L("book").alias("path"), "sheet", r.alias("row"), c.alias("col"), "value", "formula")
+    return sheet_catalog(placed).drop("path")
+
+
+_CATALOG_SQL = f"""WITH {_CELLS}, x AS (SELECT sheet, n, r, address, CASE WHEN address[1] = 'A' THEN 'v' WHEN address = 'K1' THEN 'v' END AS value, formula FROM cells)
+    SELECT sheet, max(r)::BIGINT AS row_count, 11::BIGINT AS column_count, count(value) AS value_count, count(formula) AS formula_count FROM x GROUP BY 1"""
+
+QUERIES = {
+    "formula_cells": (_extract, f"WITH {_CELLS} SELECT sheet, address, coalesce(formula, '=LEFT(A1,2)') AS formula FROM cells WHERE formula IS NOT NULL OR address = 'K1'"),
+    "sheet_catalog": (_sheet_catalog, _CATALOG_SQL),
+    "formula_deps": (_edges, f"WITH {_EDGES} SELECT * FROM edges"),
+    "affected_cells": (lambda s, d: G.affected_cells(_edges(s, d), _changed(s, d)), _closure(_CHANGED)),
+    "recalc_levels": (lambda s, d: G.recalc_levels(_edges(s, d), _formula_cells(s, d)), _levels_sql("SELECT * FROM levels")),
+    "circular_cells": (lambda s, d: G.circular_cells(_edges(s, d), _formula_cells(s, d)), _levels_sql("SELECT cell FROM levels WHERE level IS NULL")),
+    "formula_audit": (_audit, _AUDIT_SQL),
+    "volatile_refresh_set": (
+        lambda s, d: G.volatile_refresh_set(cells(s, d), _edges(s, d)),
+        _closure("changed AS (SELECT sheet || '!' || address AS cell FROM cells WHERE address = 'I1' AND n % 3 <> 1)"),
+    ),
+    "dependents_of": (
+        lambda s, d: G.dependents_of(_edges(s, d), _changed(s, d)),
+        f"WITH {_EDGES}, {_CHANGED} SELECT * FROM edges WHERE depends_on IN (FROM changed)",
+    ),
+    "replace_dependencies": (
+        lambda s, d: G.replace_dependencies(
+            _edges(s, d), _formula_cells(s, d).filter(C("cell").endswith("!D1")).select("cell", F.replace("cell", L("!D1"), L("!A1")).alias("depends_on")),
+            _formula_cells(s, d).filter(C("cell").endswith("!D1") | C("cell").endswith("!E1")),
+        ),
+        f"WITH {_EDGES} SELECT * FROM edges WHERE cell NOT LIKE '%!D1' AND cell NOT LIKE '%!E1' UNION ALL SELECT sheet || '!D1', sheet || '!A1' FROM cells WHERE address = 'D1'",
+    ),
+}
