@@ -118,28 +118,26 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counted.filter("k = 1").select("cell", "up"), edges.join(counted.filter("k > 1"), "cell", "left_semi")
 
 
-def _jump(single: DataFrame, carry: Column) -> DataFrame:
+def _jump(single: DataFrame) -> DataFrame:
     """Follow single-dependency chains by pointer doubling.
 
-    ``single``: (cell, up, dist, flag). Doubles every pointer per round, so a running
-    total of a million rows takes twenty rounds. Pointers that still sit on a single
-    cell when the round count exceeds log2 of the cells belong to a cycle.
+    ``single``: (cell, up, dist, flag). Pointers double per round, so a running total of
+    a million rows takes twenty rounds. Each round settles the chains of twice the length
+    and spreads flags twice as far; when neither count changes, the pointers still moving
+    (``moved``) sit on or behind a cycle.
     """
-    table = materialize(single)
-    n = table.count()
-    rounds = max(1, n.bit_length() + 1)
-    for _ in range(rounds):
+    table = materialize(single.withColumn("moved", F.lit(True)))
+    before = None
+    while True:
         ahead = table.select(F.col("cell").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.col("flag").alias("_flag"))
-        step = table.join(ahead, "up", "left")
-        table = materialize(step.select(
-            "cell", F.coalesce("_up", "up").alias("up"),
-            (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
-            (F.col("flag") | F.coalesce(carry, F.lit(False))).alias("flag"),
-            F.col("_up").isNotNull().alias("moved"),
+        table = materialize(table.join(ahead, "up", "left").select(
+            "cell", F.coalesce("_up", "up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            (F.col("flag") | F.coalesce("_flag", F.lit(False))).alias("flag"), F.col("_up").isNotNull().alias("moved"),
         ))
-        if not table.filter("moved").limit(1).count():
-            break
-    return table
+        state = tuple(table.agg(F.count_if("moved"), F.count_if("flag")).first())
+        if state[0] == 0 or state == before:
+            return table
+        before = state
 
 
 def affected_cells(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -155,7 +153,7 @@ def affected_cells(edges: DataFrame, changed: DataFrame) -> DataFrame:
     base = single.join(mark.withColumnRenamed("cell", "up"), "up", "left").select(
         "cell", "up", F.lit(1).cast("bigint").alias("dist"), F.coalesce("_hit", F.lit(False)).alias("flag")
     )
-    chains = _jump(base, F.col("_flag")).select("cell", "up", "flag")
+    chains = _jump(base).select("cell", "up", "flag")
     # contracted edges: a branching cell depends on the head of each chain it reads
     heads = chains.select(F.col("cell").alias("depends_on"), "up", "flag")
     short = materialize(branching.join(heads, "depends_on", "left").join(
@@ -167,7 +165,7 @@ def affected_cells(edges: DataFrame, changed: DataFrame) -> DataFrame:
     seed = short.filter("flag").select("cell").unionByName(start).distinct()
     frontier = materialize(seed)
     visited = frontier
-    while frontier.limit(1).count():
+    while not frontier.isEmpty():
         reached = short.join(frontier.withColumnRenamed("cell", "up"), "up", "left_semi").select("cell").distinct()
         frontier = materialize(reached.join(visited, "cell", "left_anti"))
         visited = visited.unionByName(frontier)
@@ -188,28 +186,27 @@ def recalc_levels(edges: DataFrame, formulas: DataFrame) -> DataFrame:
         .join(cells.withColumnRenamed("cell", "depends_on"), "depends_on", "left_semi")
     )
     single, branching = _chains(inner)
-    chains = materialize(_jump(
-        single.select("cell", "up", F.lit(1).cast("bigint").alias("dist"), F.lit(False).alias("flag")), F.lit(False)
-    ).select("cell", "up", "dist", F.col("moved").alias("looping")))
+    chains = _jump(
+        single.select("cell", "up", F.lit(1).cast("bigint").alias("dist"), F.lit(False).alias("flag"))
+    ).select("cell", "up", "dist", F.col("moved").alias("looping"))
     heads = chains.select(F.col("cell").alias("depends_on"), "up", F.col("dist").alias("d"), "looping")
-    left = materialize(branching.join(heads, "depends_on", "left").select(
-        "cell", F.when(F.coalesce("looping", F.lit(False)), F.lit(None).cast("string")).otherwise(F.coalesce("up", "depends_on")).alias("up"),
-        (F.coalesce("d", F.lit(0)) + 1).alias("d"),
+    # open edges: ``up`` is NULL once resolved, "" if it can never be
+    state = materialize(branching.join(heads, "depends_on", "left").select(
+        "cell", F.when(F.coalesce("looping", F.lit(False)), F.lit("")).otherwise(F.coalesce("up", "depends_on")).alias("up"),
+        (F.coalesce("d", F.lit(0)) + 1).alias("d"), F.lit(None).cast("bigint").alias("reached"),
     ))
     roots = cells.join(inner.select("cell").distinct(), "cell", "left_anti")
-    known = materialize(roots.select("cell", F.lit(0).cast("bigint").alias("level")))
-    fresh = known
-    best = materialize(left.select("cell", F.lit(0).cast("bigint").alias("level")).limit(0))
-    while left.limit(1).count() and fresh.limit(1).count():
-        met = left.join(fresh.select(F.col("cell").alias("up"), "level"), "up")
-        gained = met.groupBy("cell").agg(F.max(F.col("level") + F.col("d")).alias("level"))
-        best = materialize(best.unionByName(gained).groupBy("cell").agg(F.max("level").alias("level")))
-        rest = left.withColumn("_k", F.coalesce("up", F.lit(""))).join(
-            fresh.select(F.col("cell").alias("_k")), "_k", "left_anti"
-        ).drop("_k")
-        left = materialize(rest)
-        fresh = materialize(best.join(left.select("cell").distinct(), "cell", "left_anti"))
-        best = best.join(fresh.select("cell"), "cell", "left_anti")
+    fresh = materialize(roots.select("cell", F.lit(0).cast("bigint").alias("level")))
+    known = fresh
+    while not fresh.isEmpty():
+        met = state.join(fresh.select(F.col("cell").alias("up"), "level"), "up", "left")
+        state = materialize(met.select(
+            "cell", F.when(F.col("level").isNull(), F.col("up")).alias("up"), "d",
+            F.coalesce(F.col("level") + F.col("d"), F.col("reached")).alias("reached"),
+        ))
+        finished = state.groupBy("cell").agg(F.count("up").alias("open"), F.max("reached").alias("level"))
+        fresh = materialize(finished.filter("open = 0").select("cell", "level"))
+        state = state.join(fresh.select("cell"), "cell", "left_anti")
         known = known.unionByName(fresh)
     known = materialize(known)
     at_heads = known.select(F.col("cell").alias("up"), "level")
