@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.operators.neighbors import matrix
 from tablescope.operators.ordering import exact_quantiles, hash_order, number_rows
 
 # Forest size, rows per tree, reason texts.
@@ -101,7 +102,7 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], see
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for series in batches:
-            x = np.column_stack([s.to_numpy(dtype=float) for s in series])
+            x = matrix(series)
             rows = np.arange(len(x))
             total = np.zeros(len(x))
             for feature, cut, left, right, length in shared.value:
@@ -147,7 +148,7 @@ def kernel_scores(df: DataFrame, cols: Sequence[str], seed: int = 42, gamma: flo
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for series in batches:
-            at = np.column_stack([s.to_numpy(dtype=float) for s in series])
+            at = matrix(series)
             yield pd.Series(-(np.cos(at @ w + b) @ mean))
 
     return df.withColumn("_raw_score", score(*x))

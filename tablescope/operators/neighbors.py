@@ -70,7 +70,10 @@ def _regions(tree: tuple[np.ndarray, np.ndarray], depth: int, x: np.ndarray) ->
     return node - ((1 << depth) - 1)
 
 
-def _matrix(series: Sequence[pd.Series]) -> np.ndarray:
+def matrix(series: pd.Series | Sequence[pd.Series]) -> np.ndarray:
+    """Rows by columns; a one-column UDF gets a bare series."""
+    if isinstance(series, pd.Series):
+        series = (series,)
     return np.column_stack([s.to_numpy(dtype=float) for s in series])
 
 
@@ -98,7 +101,7 @@ def nearest(queries: DataFrame, data: DataFrame, dims: int, k: int, exclude_self
     @F.pandas_udf("int")
     def region(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for series in batches:
-            yield pd.Series(_regions(shared.value, depth, _matrix(series)))
+            yield pd.Series(_regions(shared.value, depth, matrix(series)))
 
     placed = materialize(data.withColumn("region", region(*xs)))
     boxes = placed.groupBy("region").agg(
@@ -120,7 +123,7 @@ def nearest(queries: DataFrame, data: DataFrame, dims: int, k: int, exclude_self
     def others(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         ids, low, high = box.value
         for series in batches:
-            x, own, limit = _matrix(series[:-2]), series[-2].to_numpy(), series[-1].to_numpy(dtype=float)
+            x, own, limit = matrix(series[:-2]), series[-2].to_numpy(), series[-1].to_numpy(dtype=float)
             out = []
             for i in range(len(x)):
                 gap = np.maximum(np.maximum(low - x[i], x[i] - high), 0.0)
