@@ -17,6 +17,7 @@ from tablescope.operators.profile import data_profile
 from tablescope.operators.target import class_feasibility, missing_target, regression_feasibility, target_kind
 from tablescope.plans.roles import PrepSpec, Roles, normalize_roles
 from tablescope.plans.workflows import split_and_fit_preprocessor, supervised_on
+from tablescope.session import materialize
 
 # Sweep order, limits, names and texts of the verdict.
 SWEEP = {
@@ -135,10 +136,11 @@ def evaluate(facts: DataFrame) -> DataFrame:
         F.when(F.col("_any") & cls & _has(risks, "class_imbalance"), F.lit("Class imbalance may limit stability on minority classes.")),
     )))
     df = df.withColumns({"overall_verdict": verdict, "confidence": confidence, "reasons": reasons, "best_algorithm": best["algorithm"]})
-    return df.withColumns({"decision": _decision(), "next_actions": _next_actions()}).select(
+    # written once: a filter pushed through the rules would copy them over and over
+    return materialize(df.withColumns({"decision": _decision(), "next_actions": _next_actions()}).select(
         "target_column", "target_kind", "best_algorithm", "signal_strength", "model_viability", "overall_verdict", "confidence", "reasons", "risk_flags",
         "decision", "next_actions",
-    )
+    ))
 
 
 def _decision() -> Column:
@@ -157,6 +159,10 @@ def _decision() -> Column:
     return picked.otherwise(made("other"))
 
 
+def _flagged(risk: str):
+    return lambda column: F.array_contains(column["flags"], risk)
+
+
 def _next_actions() -> Column:
     """Ordered array of (action, reason, priority, affected_columns)."""
     risks, s, v = F.col("risk_flags"), F.col("signal_strength"), F.col("model_viability")
@@ -173,7 +179,7 @@ def _next_actions() -> Column:
     }
     # columns by warning, in the order of the risk flags
     affected = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.filter("risky", lambda c, r=r: F.array_contains(c["flags"], r)), lambda c: c["name"]) for r in FEATURE_RISKS
+        F.transform(F.filter("risky", _flagged(r)), lambda c: c["name"]) for r in FEATURE_RISKS
     ])))
     nothing = F.array().cast("array<string>")
     out = []
