@@ -125,18 +125,16 @@ _ACTIONS_SQL = f"""{_RULES},
 
 
 def _reasons(s, d):
-    out = X.evaluate(facts(s, d)).select("target_column", F.posexplode("reasons").alias("position", "reason"))
-    return out.withColumn("reason", F.regexp_replace("reason", r"[0-9.]+%?\)?\.$", "#"))
+    return X.evaluate(facts(s, d)).select("target_column", F.posexplode("reasons").alias("position", "reason"))
 
 
 _REASONS_SQL = f"""{_RULES},
     a AS (SELECT k, p, reason FROM y, LATERAL (VALUES
-        (1, 'Label column is missing or target kind is not inferable#', kind = 'unknown'), (2, 'All candidate models failed to train or evaluate for this target#', kind <> 'unknown' AND NOT fitted),
-        (3, 'Best ' || kind || ' model: ' || algorithm || '#', fitted),
-        (4, CASE WHEN kind = 'classification' AND gain IS NULL THEN 'Baseline improvement could not be computed#' WHEN gain IS NULL THEN 'Baseline RMSE improvement could not be computed#'
-                 WHEN kind = 'classification' THEN 'Best model improves baseline by ' || CASE WHEN round(gain, 4) < 0 OR (gain < 0 AND round(gain, 4) = 0) THEN '-' ELSE '' END || '#'
-                 ELSE 'Best model reduces baseline RMSE by ' || CASE WHEN gain < 0 THEN '-' ELSE '' END || '#' END, fitted),
-        (5, 'Train/test gap is large (#', overfit), (6, 'Class imbalance may limit stability on minority classes#', fitted AND kind = 'classification' AND k % 8 = 0)
+        (1, 'Label column is missing or target kind is not inferable.', kind = 'unknown'), (2, 'All candidate models failed to train or evaluate for this target.', kind <> 'unknown' AND NOT fitted),
+        (3, 'Best ' || kind || ' model: ' || algorithm || '.', fitted),
+        (4, CASE WHEN kind = 'classification' AND gain IS NULL THEN 'Baseline improvement could not be computed.' WHEN gain IS NULL THEN 'Baseline RMSE improvement could not be computed.'
+                 WHEN kind = 'classification' THEN printf('Best model improves baseline by %.4f.', gain) ELSE printf('Best model reduces baseline RMSE by %.1f%%.', gain * 100) END, fitted),
+        (5, printf('Train/test gap is large (%.4f).', gap), overfit), (6, 'Class imbalance may limit stability on minority classes.', fitted AND kind = 'classification' AND k % 8 = 0)
     ) t(p, reason, hit) WHERE hit)
     SELECT CAST(k AS VARCHAR) AS target_column, (row_number() OVER (PARTITION BY k ORDER BY p) - 1)::INT AS position, reason FROM a"""
 
