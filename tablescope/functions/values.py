@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Java accepts a type suffix ("1d", "2f") in numeric text; spreadsheets do not.
-_SUFFIX = r"[dDfF]\s*$"
+# Texts that read as a number. Checked before the cast: Java also accepts "1d" and "2f",
+# and a failing cast costs an exception per row.
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_INFINITE = r"^\s*[+-]?(inf|infinity|Infinity|INF)\s*$"
 _FLOAT_TYPES = (T.FloatType, T.DoubleType)
 _FLOAT_NAMES = ("double", "float")
 
@@ -37,15 +39,17 @@ def present(df: DataFrame, name: str) -> Column:
     return F.when(~missing(df, name), F.col(f"`{name}`"))
 
 
+def _parsed(c: Column, infinite: bool) -> Column:
+    """Double value; text only where it reads as a number. ``typeof`` folds away at planning."""
+    text = c.cast("string")
+    ok = text.rlike(_NUMBER) | text.rlike(_INFINITE) if infinite else text.rlike(_NUMBER)
+    return F.when((F.typeof(c) != "string") | ok, c.try_cast("double"))
+
+
 def to_numeric(c: Column) -> Column:
     """Double value, NULL where the text is no number."""
-    parsed = c.try_cast("double")
-    suffixed = (F.typeof(c) == "string") & c.cast("string").rlike(_SUFFIX)
-    # "inf" ends in f but is a number; keep it
-    named = F.lower(F.trim(c.cast("string"))).isin("inf", "+inf", "-inf")
-    return F.when(suffixed & ~named, F.lit(None).cast("double")).otherwise(
-        F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
-    )
+    parsed = _parsed(c, True)
+    return F.when(~F.isnan(parsed), parsed)
 
 
 def numeric_of(df: DataFrame, name: str) -> Column:
@@ -65,9 +69,8 @@ def finite(x: Column) -> Column:
 
 def num(c: Column) -> Column:
     """Formula number: blank, text and non-finite values count as 0."""
-    parsed = c.try_cast("double")
-    suffixed = (F.typeof(c) == "string") & c.cast("string").rlike(_SUFFIX)
-    return F.when(suffixed | ~finite(parsed), F.lit(0.0)).otherwise(parsed)
+    parsed = _parsed(c, False)
+    return F.when(finite(parsed), parsed).otherwise(F.lit(0.0))
 
 
 def canon_str(c: Column) -> Column:

@@ -27,9 +27,15 @@ _CALL = r"([A-Z][A-Z0-9_]*)\s*\("
 
 
 def column_index(label: Column) -> Column:
-    """A -> 0, Z -> 25, AA -> 26."""
-    value = F.aggregate(F.split(label, ""), F.lit(0), lambda acc, ch: F.when(ch == "", acc).otherwise(acc * 26 + F.ascii(ch) - 64))
-    return value - 1
+    """A -> 0, Z -> 25, AA -> 26. Up to three letters by plain arithmetic, longer ones by a fold."""
+    def letter(at: int) -> Column:
+        return F.ascii(F.substring(label, at, 1)) - 64
+
+    size = F.length(label)
+    fold = F.aggregate(F.split(label, ""), F.lit(0), lambda acc, ch: F.when(ch == "", acc).otherwise(acc * 26 + F.ascii(ch) - 64))
+    return (
+        F.when(size == 1, letter(1)).when(size == 2, letter(1) * 26 + letter(2)).when(size == 3, letter(1) * 676 + letter(2) * 26 + letter(3)).otherwise(fold)
+    ) - 1
 
 
 def column_label(index: Column) -> Column:
@@ -71,31 +77,35 @@ def extract_formulas(cells: DataFrame) -> DataFrame:
     return found.withColumn("formula", F.when(F.col("formula").startswith("="), F.col("formula")).otherwise(F.concat(F.lit("="), "formula")))
 
 
+def _place(ref: Column) -> tuple[Column, Column]:
+    """0-based (row, column) of a reference known to be well formed; no pattern is run again."""
+    letters = F.rtrim(ref, F.lit("0123456789"))
+    return F.substring(ref, F.length(letters) + 1, F.lit(10)).try_cast("int") - 1, column_index(letters)
+
+
 def formula_dependencies(cells: DataFrame) -> DataFrame:
     """Edges (cell, depends_on). Ranges are expanded; unknown sheets and columns are ignored."""
-    _, col = parse_address(F.col("address"))
-    widths = cells.groupBy(F.col("sheet").alias("_sheet")).agg(F.max(col).alias("_last"))
+    widths = cells.groupBy(F.col("sheet").alias("_sheet")).agg(F.max(_place(F.col("address"))[1]).alias("_last"))
     formulas = cells.filter(F.col("formula").isNotNull())
     body = F.regexp_replace("formula", "^=", "")
     tokens = formulas.select(
         cell_key(F.col("sheet"), F.col("address")).alias("cell"), "sheet",
         F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(REFERENCE), F.lit(0)))).alias("t"),
+    ).withColumn("_ref", F.substring_index("t", "!", -1))
+    prefix = F.substring(F.col("t"), F.lit(1), F.length("t") - F.length("_ref") - 1)
+    bare = F.when(prefix.startswith("'"), F.substring(prefix, F.lit(2), F.length(prefix) - 2)).otherwise(prefix)
+    sheet = F.when(F.col("t").contains("!"), F.trim(bare)).otherwise(F.col("sheet"))
+    (r1, c1), (r2, c2) = _place(F.substring_index("_ref", ":", 1)), _place(F.substring_index("_ref", ":", -1))
+    parsed = tokens.select(
+        "cell", sheet.alias("_sheet"), "_ref", F.col("_ref").contains(":").alias("_wide"), r1.alias("r1"), c1.alias("c1"), r2.alias("r2"), c2.alias("c2")
     )
-    quoted, plain = F.regexp_extract("t", r"^'([^']+)'!", 1), F.regexp_extract("t", r"^([A-Za-z0-9_]+)!", 1)
-    sheet = F.trim(F.when(quoted != "", quoted).when(plain != "", plain).otherwise(F.col("sheet")))
-    ref = F.regexp_extract("t", r"([A-Z]+[1-9][0-9]*(?::[A-Z]+[1-9][0-9]*)?)$", 1)
-    first = F.substring_index(ref, ":", 1)
-    last = F.substring_index(ref, ":", -1)
-    (r1, c1), (r2, c2) = parse_address(first), parse_address(last)
-    boxes = tokens.select("cell", sheet.alias("_sheet"), r1.alias("r1"), c1.alias("c1"), r2.alias("r2"), c2.alias("c2"))
-    known = boxes.join(widths, "_sheet").withColumns({
-        "r_lo": F.least("r1", "r2"), "r_hi": F.greatest("r1", "r2"),
-        "c_lo": F.least("c1", "c2"), "c_hi": F.least(F.greatest("c1", "c2"), F.col("_last")),
-    }).filter(F.col("c_lo") <= F.col("c_hi"))
-    cells_of = known.select("cell", "_sheet", "c_lo", "c_hi", F.explode(F.sequence("r_lo", "r_hi")).alias("r")).select(
-        "cell", "_sheet", "r", F.explode(F.sequence("c_lo", "c_hi")).alias("c")
-    )
-    return cells_of.select("cell", cell_key(F.col("_sheet"), to_address(F.col("r"), F.col("c"))).alias("depends_on")).distinct()
+    known = parsed.join(widths, "_sheet").filter(F.least("c1", "c2") <= F.col("_last"))
+    rows = F.sequence(F.least("r1", "r2"), F.greatest("r1", "r2"))
+    cols = F.sequence(F.least("c1", "c2"), F.least(F.greatest("c1", "c2"), F.col("_last")))
+    # a single cell keeps its text; a range becomes one address per row and column
+    box = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: to_address(r, c))))
+    spread = known.select("cell", "_sheet", F.explode(F.when(F.col("_wide"), box).otherwise(F.array("_ref"))).alias("at"))
+    return spread.select("cell", cell_key(F.col("_sheet"), F.col("at")).alias("depends_on")).distinct()
 
 
 def dependents_of(edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -140,6 +150,11 @@ def _jump(single: DataFrame) -> DataFrame:
         before = state
 
 
+def _compact(union: DataFrame, depth: int) -> DataFrame:
+    """Keep the union of per-level tables short, so that plans do not grow with depth."""
+    return materialize(union) if depth % 12 == 0 else union
+
+
 def affected_cells(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Changed cells and everything that depends on them, directly or not.
 
@@ -164,11 +179,12 @@ def affected_cells(edges: DataFrame, changed: DataFrame) -> DataFrame:
     ))
     seed = short.filter("flag").select("cell").unionByName(start).distinct()
     frontier = materialize(seed)
-    visited = frontier
+    visited, depth = frontier, 0
     while not frontier.isEmpty():
         reached = short.join(frontier.withColumnRenamed("cell", "up"), "up", "left_semi").select("cell").distinct()
         frontier = materialize(reached.join(visited, "cell", "left_anti"))
-        visited = visited.unionByName(frontier)
+        depth += 1
+        visited = _compact(visited.unionByName(frontier), depth)
     visited = materialize(visited)
     by_head = chains.join(visited.withColumnRenamed("cell", "up"), "up", "left_semi").select("cell")
     return visited.unionByName(by_head).unionByName(chains.filter("flag").select("cell")).distinct()
@@ -197,7 +213,7 @@ def recalc_levels(edges: DataFrame, formulas: DataFrame) -> DataFrame:
     ))
     roots = cells.join(inner.select("cell").distinct(), "cell", "left_anti")
     fresh = materialize(roots.select("cell", F.lit(0).cast("bigint").alias("level")))
-    known = fresh
+    known, depth = fresh, 0
     while not fresh.isEmpty():
         met = state.join(fresh.select(F.col("cell").alias("up"), "level"), "up", "left")
         state = materialize(met.select(
@@ -207,7 +223,8 @@ def recalc_levels(edges: DataFrame, formulas: DataFrame) -> DataFrame:
         finished = state.groupBy("cell").agg(F.count("up").alias("open"), F.max("reached").alias("level"))
         fresh = materialize(finished.filter("open = 0").select("cell", "level"))
         state = state.join(fresh.select("cell"), "cell", "left_anti")
-        known = known.unionByName(fresh)
+        depth += 1
+        known = _compact(known.unionByName(fresh), depth)
     known = materialize(known)
     at_heads = known.select(F.col("cell").alias("up"), "level")
     by_chain = chains.filter(~F.col("looping")).join(at_heads, "up").select("cell", (F.col("level") + F.col("dist")).alias("level"))

@@ -42,13 +42,12 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column], name: str = "_r
     counts = stored.groupBy("_part").agg((F.max("_local") + 1).alias("n")).orderBy("_part").collect()
     total, offsets = 0, []
     for row in counts:
-        offsets += [F.lit(row["_part"]), F.lit(total)]
+        offsets.append((row["_part"], total))
         total += row["n"]
-    if not offsets:
-        return stored.drop("_part", "_local").withColumn(name, F.lit(0).cast("bigint"))
-    start = F.element_at(F.create_map(*offsets), F.col("_part"))
-    number = (F.col("_local") + start + 1).cast("bigint")
-    return stored.withColumn(name, number).drop("_part", "_local")
+    # one row per sort partition: small enough to reach every task
+    starts = F.broadcast(spark.createDataFrame(offsets, "_part int, _start bigint"))
+    number = (F.col("_local") + F.col("_start") + 1).cast("bigint")
+    return stored.join(starts, "_part").withColumn(name, number).drop("_part", "_local", "_start")
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
@@ -162,14 +161,16 @@ def hash_order(cols: Sequence[str], seed: int) -> Column:
 
 
 def cut_values(
-    df: DataFrame, group: Column, order: Column, wanted: DataFrame, limits: Sequence[str], digits: int = 4
+    df: DataFrame, group: Column, order: Column, wanted: DataFrame, limits: Sequence[str], rows: int
 ) -> DataFrame:
     """For each group, the ``order`` value of its n-th row, for every n in ``limits``.
 
     ``wanted`` has one row per group (column ``_group``) with a count per limit. Rows are
     counted by the leading hex digits of the hash; only the rows sharing the digits of a
     cut are ranked. No group is sorted as a whole and the main table is not shuffled.
+    ``rows`` sets the number of digits: about a million rows share them at most.
     """
+    digits = max(3, math.ceil(math.log(max(1, rows / 1e6), 16)))
     keyed = df.select(group.alias("_group"), order.alias("_order"))
     prefix = F.substring("_order", 1, digits).alias("_prefix")
     tally = keyed.groupBy("_group", prefix).agg(F.count(F.lit(1)).alias("_n"))

@@ -92,7 +92,7 @@ def train_test_split(
         quota = _shares(quota, "_free", n - test, train, "_train", few)
     quota = quota.select("_group", F.col("_test"), (F.col("_test") + F.col("_train")).alias("_both"))
     order = F.concat_ws("|", hash_order(key, seed), *[F.col(f"`{c}`").cast("string") for c in key])
-    cuts = cut_values(df, group, order, small(quota), ["_test", "_both"])
+    cuts = cut_values(df, group, order, small(quota), ["_test", "_both"], n)
     if not label:
         row = cuts.first()
         return df.withColumn("_split_role", _role(order, F.lit(row["_cut__test"]), F.lit(row["_cut__both"])))

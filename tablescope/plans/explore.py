@@ -129,10 +129,10 @@ def evaluate(facts: DataFrame) -> DataFrame:
         F.when(known & ~F.col("_any"), F.lit("All candidate models failed to train or evaluate for this target.")),
         F.when(F.col("_any"), F.concat(F.lit("Best "), kind, F.lit(" model: "), best["algorithm"], F.lit("."))),
         F.when(F.col("_any") & cls, F.coalesce(
-            F.concat(F.lit("Best model improves baseline by "), F.format_string("%.4f", g), F.lit(".")), F.lit("Baseline improvement could not be computed."))),
+            F.when(g.isNotNull(), F.format_string("Best model improves baseline by %.4f.", g)), F.lit("Baseline improvement could not be computed."))),
         F.when(F.col("_any") & ~cls, F.coalesce(
-            F.concat(F.lit("Best model reduces baseline RMSE by "), F.format_string("%.1f", g * 100), F.lit("%.")), F.lit("Baseline RMSE improvement could not be computed."))),
-        F.when(F.col("_overfit"), F.concat(F.lit("Train/test gap is large ("), F.format_string("%.4f", gap), F.lit(")."))),
+            F.when(g.isNotNull(), F.format_string("Best model reduces baseline RMSE by %.1f%%.", g * 100)), F.lit("Baseline RMSE improvement could not be computed."))),
+        F.when(F.col("_overfit"), F.format_string("Train/test gap is large (%.4f).", gap)),
         F.when(F.col("_any") & cls & _has(risks, "class_imbalance"), F.lit("Class imbalance may limit stability on minority classes.")),
     )))
     df = df.withColumns({"overall_verdict": verdict, "confidence": confidence, "reasons": reasons, "best_algorithm": best["algorithm"]})
