@@ -164,14 +164,15 @@ _CLUSTER_METRICS_SQL = f"""
 
 
 def _silhouette(s, d):
+    """A cluster of one row scores 0."""
     return M.silhouette_squared(_labelled(s, d), AXES, "_cluster").select(F.round("silhouette_squared", 6).alias("silhouette_squared"))
 
 
 _SILHOUETTE_SQL = f"""
     WITH m AS (SELECT _cluster AS c, count(*) AS k, avg(x) AS mx, avg(y) AS my, avg(x * x + y * y) AS q FROM {_LABELLED} GROUP BY 1),
     g AS (SELECT _row_id, _cluster, c, k, x * x + y * y - 2 * (x * mx + y * my) + q AS d FROM {_LABELLED} CROSS JOIN m),
-    s AS (SELECT _row_id, max(CASE WHEN c = _cluster THEN d * k / (k - 1) END) AS a, min(CASE WHEN c <> _cluster THEN d END) AS b FROM g GROUP BY 1)
-    SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette_squared FROM s"""
+    s AS (SELECT _row_id, max(CASE WHEN c = _cluster AND k > 1 THEN d * k / (k - 1) END) AS a, min(CASE WHEN c <> _cluster THEN d END) AS b FROM g GROUP BY 1)
+    SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette_squared FROM s"""
 
 
 def _major(s, d, label):
