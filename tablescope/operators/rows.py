@@ -23,7 +23,7 @@ def preview(df: DataFrame, order_by: Sequence[str | Column], n: int = 10) -> Dat
 
 
 def page(df: DataFrame, offset: int, limit: int = 100) -> DataFrame:
-    """Rows offset+1 .. offset+limit of a table with ``_row_id``; a pushed range filter."""
+    """Rows offset+1 .. offset+limit by ``_row_id``; on a stored numbered table the range is pushed to the scan."""
     if offset < 0 or not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"offset must be >= 0 and limit between 1 and {MAX_PAGE}")
     return blank_missing(df.filter(F.col("_row_id").between(offset + 1, offset + limit)))
