@@ -29,3 +29,27 @@ def crc_mod4(doc_id: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where the row belongs to the held-out fold (remainder 2); false for a null id."""
     return F.coalesce(crc_mod4(doc_id) == 2, F.lit(False))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], start: Column, chunk: int = 256) -> Column:
+    """State before each element when ``step(state, element)`` folds the array from ``start`` on.
+
+    The states of a chunk are gathered apart from those of the chunks, so a long array
+    costs its length times the chunk, not its length squared.
+    """
+
+    def states(first: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda out, x: F.concat(out, F.array(step(F.element_at(out, -1), x))))
+
+    def of(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda k: F.slice(v, k * chunk + 1, chunk))
+
+        def joined(p: Column) -> Column:
+            heads = F.aggregate(p, F.array(start), lambda out, part: F.concat(
+                out, F.array(F.aggregate(part, F.element_at(out, -1), step))))
+            return let(heads, lambda h: F.flatten(F.transform(p, lambda part, k: F.slice(
+                states(F.get(h, k), part), 1, F.size(part)))))
+
+        return let(parts, joined)
+
+    return F.when(F.size(values) > 0, let(values, of)).otherwise(F.slice(F.array(start), 1, 0))

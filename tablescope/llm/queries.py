@@ -13,8 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUALITY_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 8),
 keyed AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM windows),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed) WHERE n > 1),
@@ -23,7 +23,7 @@ m AS (SELECT w.doc_id, w.text, len(w.w)::BIGINT AS n_words, length(array_to_stri
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(range(2, len(w.w) + 1), i -> w.w[i] = w.w[i - 1]))::BIGINT AS n_stutter
+        len(list_filter(range(2, len(w.w) + 1), lambda i: w.w[i] = w.w[i - 1]))::BIGINT AS n_stutter
       FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -42,6 +42,74 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+        length(role) + length(text) + length(regexp_replace(text, '[^~<#]', '', 'g')) + length(regexp_replace(role, '[^~<#:]', '', 'g'))
+        + length('### ') + length(': ') + length('</turn>') + 1 AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.chat import chains, format_trees, loss_text, read_turns
+
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    done = format_trees(chains(rows)).withColumns({
+        "turns": read_turns(F.col("formatted")), "loss": loss_text(F.col("formatted"), F.col("loss_mask"))})
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        F.col("tree.id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+#: Bytes per shard.
+SHARD_LIMIT = 32 << 20
+
+SHARDS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS b,
+             CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS BIGINT) AS h FROM documents),
+nodes AS (SELECT k AS depth, h >> (60 - k) AS prefix, sum(b)::BIGINT AS bytes FROM d, range(0, 61) t(k) GROUP BY ALL),
+shards AS (SELECT n.* FROM nodes n LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.prefix = n.prefix >> 1
+           WHERE n.bytes <= {SHARD_LIMIT} AND (n.depth = 0 OR up.bytes > {SHARD_LIMIT}))
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard,
+  depth::INT AS shard_depth, bytes AS shard_bytes
+FROM d JOIN shards s ON h >> (60 - s.depth) = s.prefix
+"""
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.shards import assign_shards
+
+    sized = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return assign_shards(sized, SHARD_LIMIT, size=F.col("n_bytes")).select("doc_id", "shard", "shard_depth", "shard_bytes")
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.secrets import find_secrets, span_text
+
+    def count(rank: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    return find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op4_chat_formatting": (chat, CHAT_SQL),
+    "op6_sharding": (shards, SHARDS_SQL),
     "op8_quality_rules": (quality, QUALITY_SQL),
+    "op10_secret_scans": (secrets, None),
 }
