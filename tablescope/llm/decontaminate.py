@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,15 @@ BLOCK = 4
 GRAM = 5
 
 
+#: Lower case of every ASCII word character, a space for the others.
+_ASCII = "".join(chr(c).lower() if chr(c).isalnum() or chr(c) == "_" else " " for c in range(128))
+
+
 def terms_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of word characters."""
+    if not text:
+        return []
+    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text.lower())
 
 
 def _grams(words: list[str]) -> set[tuple[str, ...]]:
@@ -47,7 +57,7 @@ class Index:
     questions: list[set]
     answers: list[set]
     vocabulary: dict[str, int]
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    postings: list[tuple[list[int], list[float]]]
     blocks: np.ndarray
     longest: int
 
@@ -68,10 +78,10 @@ class Index:
                 if at == len(lists):
                     lists.append([])
                 lists[at].append((i, x / own))
-        postings = [(np.array([i for i, _ in p], dtype=np.int64), np.array([x for _, x in p])) for p in lists]
-        blocks = np.zeros((len(lists) + 1, -(-max(len(items), 1) // BLOCK)), dtype=np.float32)  # the last row: unknown words
+        postings = [([i for i, _ in p], [x for _, x in p]) for p in lists]
+        blocks = np.zeros((max(len(lists), 1), -(-max(len(items), 1) // BLOCK)), dtype=np.float32)
         for t, (at, x) in enumerate(postings):
-            np.maximum.at(blocks[t], at // BLOCK, x)
+            np.maximum.at(blocks[t], np.array(at) // BLOCK, x)
         return cls([i for i, _, _ in items], [_grams(q) for q, _ in words], [_grams(a) for _, a in words], vocabulary,
                    postings, blocks, max([len(q) + len(a) for q, a in words], default=1) or 1)
 
@@ -87,14 +97,16 @@ class Index:
         terms' largest impacts reach the threshold; if the largest impacts in its block do
         not, all cursors move behind the block, else the item is scored.
         """
-        cursors = [[int(self.postings[t][0][0]), 0, int(t)] for t in query]
-        most = {int(t): float(self.blocks[t].max()) for t in query}
+        lists = [self.postings[t] for t in query]
+        blocks = self.blocks[query].tolist()
+        most = [max(b) for b in blocks]
+        cursors = [[p[0][0], 0, q] for q, p in enumerate(lists)]
         found = []
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
-            for k, (_, _, t) in enumerate(cursors):
-                bound += most[t]
+            for k, (_, _, q) in enumerate(cursors):
+                bound += most[q]
                 if bound >= threshold - 1e-6:
                     pivot = k
                     break
@@ -104,7 +116,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            tight = sum(float(self.blocks[c[2], block]) for c in cursors[:pivot + 1])
+            tight = sum(blocks[c[2]][block] for c in cursors[:pivot + 1])
             if tight < threshold - 1e-6:
                 # no item up to the end of the block, nor before the next cursor, can reach the threshold
                 target = (block + 1) * BLOCK
@@ -112,16 +124,16 @@ class Index:
                     target = min(target, cursors[pivot + 1][0])
                 target, moved = max(target, item + 1), pivot + 1
             elif cursors[0][0] == item:
-                score = sum(float(self.postings[t][1][k]) for at, k, t in cursors[:pivot + 1])
+                score = sum(lists[q][1][k] for _, k, q in cursors[:pivot + 1])
                 if score >= threshold:
                     found.append((item, score))
                 target, moved = item + 1, pivot + 1
             else:
                 target, moved = item, pivot
             for c in cursors[:moved]:
-                at = self.postings[c[2]][0]
-                c[1] += int(np.searchsorted(at[c[1]:], target))
-                c[0] = int(at[c[1]]) if c[1] < len(at) else -1
+                at = lists[c[2]][0]
+                c[1] = bisect_left(at, target, c[1])
+                c[0] = at[c[1]] if c[1] < len(at) else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
@@ -132,20 +144,22 @@ class Index:
         if not words or not self.ids:
             return []
         unknown = len(self.vocabulary)
-        get = self.vocabulary.get
-        terms = np.fromiter((get(w, unknown) for w in words), dtype=np.int64, count=len(words))
+        terms = np.fromiter(map(self.vocabulary.get, words, repeat(unknown)), dtype=np.int64, count=len(words))
         best: dict[int, float] = {}
         spans: dict[int, list[tuple[int, int]]] = {}
-        windows = self.passages(len(words))
-        step = self.longest
-        # Each stretch of one step is part of two windows; the bound of a window is at most the sum of its stretches.
-        pairs = np.unique((np.arange(len(words)) // step) * (unknown + 1) + terms)
-        stretch = pairs // (unknown + 1)
+        # Each stretch of one step is part of two windows; a window's bound is at most the sum of theirs.
+        known_at = np.flatnonzero(terms != unknown)
+        if not len(known_at):
+            return []
+        pairs = np.unique((known_at // self.longest) * unknown + terms[known_at])
+        stretch = pairs // unknown
         starts = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
-        bounds = np.add.reduceat(self.blocks[pairs % (unknown + 1)], starts, axis=0)
-        for w, (s, e) in enumerate(windows):
-            if bounds[w:w + 2].sum(axis=0).max() < threshold - 1e-6:
-                continue
+        bounds = np.zeros((-(-len(words) // self.longest) + 1, self.blocks.shape[1]), dtype=np.float32)
+        bounds[stretch[starts]] = np.add.reduceat(self.blocks[pairs % unknown], starts, axis=0)
+        windows = self.passages(len(words))
+        reach = (bounds[:-1] + bounds[1:]).max(axis=1)
+        for w in np.flatnonzero(reach[:len(windows)] >= threshold - 1e-6):
+            s, e = windows[w]
             query = np.unique(terms[s:e])
             query = query[query != unknown]
             if self.blocks[query].sum(axis=0).max() < threshold - 1e-6:
@@ -192,6 +206,14 @@ def _indexes(items: DataFrame, item_id: str, question: Column, answer: Column, s
         yield Index.build(rows, frequency, n_items, n_words / max(1, n_items))
 
 
+def _searcher(shipped: Broadcast, threshold: float, overlap: float) -> Callable[[Column], Column]:
+    @F.pandas_udf(f"array<{HIT}>")
+    def search(texts: pd.Series) -> pd.Series:
+        return pd.Series([shipped.value.hits(t, threshold, overlap) for t in texts], dtype=object)
+
+    return search
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, question: Column, answer: Column, text: str = "text", item_id: str = "item_id",
                threshold: float = 0.5, overlap: float = 0.5, shard_terms: int = 2_000_000) -> DataFrame:
     """``docs`` with ``leaks``: verified items (item_id, score, question, answer) per row.
@@ -209,12 +231,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, question: Column, answer: Colu
     for k, index in enumerate(_indexes(items, item_id, question, answer, shard_terms)):
         if k:
             out = materialize(out)
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf(f"array<{HIT}>")
-        def search(texts: pd.Series, shipped=shipped) -> pd.Series:
-            return pd.Series([shipped.value.hits(t, threshold, overlap) for t in texts], dtype=object)
-
+        search = _searcher(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap)
         out = out.withColumn("leaks", F.concat("leaks", search(F.col(text))))
     return out
 

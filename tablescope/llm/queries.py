@@ -107,8 +107,25 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.decontaminate import find_leaks, split_item
+
+    question, answer = split_item(F.col("text"))
+    found = find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), question, answer)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", "leak.score", F.col("leak.question").alias("question_overlap"), F.col("leak.answer").alias("answer_overlap"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op3_packing": (packing, None),
     "op4_chat_formatting": (chat, CHAT_SQL),
+    "op5_benchmark_decontamination": (decontamination, None),
     "op6_sharding": (shards, SHARDS_SQL),
     "op8_quality_rules": (quality, QUALITY_SQL),
     "op10_secret_scans": (secrets, None),
