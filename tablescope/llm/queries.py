@@ -97,7 +97,7 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tablescope.llm.secrets import find_secrets, span_text
+    from tablescope.llm.secret_scan import find_secrets, span_text
 
     def count(rank: int):
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
@@ -122,11 +122,34 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leak.item_id", "leak.score", F.col("leak.question").alias("question_overlap"), F.col("leak.answer").alias("answer_overlap"))
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ways.y FROM reach JOIN ways ON reach.r = ways.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_packing": (packing, None),
     "op4_chat_formatting": (chat, CHAT_SQL),
     "op5_benchmark_decontamination": (decontamination, None),
     "op6_sharding": (shards, SHARDS_SQL),
+    "op7_ngram_jaccard_join": (jaccard, JACCARD_SQL),
     "op8_quality_rules": (quality, QUALITY_SQL),
     "op10_secret_scans": (secrets, None),
 }
