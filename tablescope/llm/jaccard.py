@@ -2,8 +2,9 @@
 
 Which texts meet in a tile is decided by prefix filtering: two sets of the wanted
 similarity share one of their first ``n - ceil(t * n) + 1`` shingles in any common order,
-so no link is lost whatever the order is. The order puts shingles that a bounded sample
-finds frequent last, which keeps passages and lines of many documents out of the prefixes.
+so no link is lost whatever the order is. The order: shingles with hashes in the lowest
+part of the range that one text has alone, then those of more texts by how many, then all
+others by hash. A text with enough shingles of its own is done before any set is compared.
 
 Equal sets are one node from the start. Nodes and shingles are 64-bit hashes.
 """
@@ -16,7 +17,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,30 +90,32 @@ def set_key(hashes: np.ndarray) -> int:
     return int(_mix(np.array([total], dtype=np.uint64)).view(np.int64)[0]) or 1
 
 
-def prefix(hashes: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order: not frequent ones by hash, then by frequency."""
-    n = len(hashes)
-    if n < 1:
-        return hashes
-    size = n - -(-percent * n // 100) + 1
-    if not len(frequent):
-        return hashes[:size]
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    often = np.where(frequent[at] == hashes, counts[at], 0)
-    return hashes[np.argsort(often, kind="stable")[:size]]
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _prefixes(words: int, percent: int, shipped: Broadcast) -> Callable[[Column], Column]:
-    @F.pandas_udf("struct<n:long,k:long,tokens:array<long>>")
-    def features(texts: pd.Series) -> pd.DataFrame:
-        frequent, counts = shipped.value
-        rows = []
-        for t in texts:
-            s = shingle_set(t, words)
-            rows.append((len(s), set_key(s), prefix(s, percent, frequent, counts).view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "k", "tokens"])
+def lowest(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles whose frequency is counted: all in the lowest part of the hash range, a
+    third wider than the mean prefix, and at least as many as the prefix has."""
+    share = min(0.99, (100 - percent) / 75)
+    size = max(prefix_size(len(hashes), percent), int(np.searchsorted(hashes, np.uint64(int(share * 2**64)))))
+    return hashes[:size]
+
+
+def _features(words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A set met before in the same partition gives no shingles again."""
+        met: set[int] = set()
+        for b in batches:
+            rows = []
+            for i, t in zip(b["id"], b["text"]):
+                s = shingle_set(t, words)
+                k = set_key(s)
+                rows.append((i, len(s), k, lowest(s, percent).view(np.int64) if k not in met else s[:0].view(np.int64)))
+                met.add(k)
+            yield pd.DataFrame(rows, columns=["id", "n", "k", "tokens"]).astype({"id": "Int64"})
 
-    return features
+    return run
 
 
 def _sets(words: int) -> Callable[[Column], Column]:
@@ -128,22 +130,6 @@ def _sets(words: int) -> Callable[[Column], Column]:
     return sets
 
 
-def frequent_shingles(docs: DataFrame, text: str, words: int, sample_rows: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least ``least`` distinct texts in about ``sample_rows`` rows, sorted, and their counts.
-
-    The sample shapes the order of the prefixes, never the links.
-    """
-    total = docs.count()
-    if not total:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    sample = docs.sample(fraction=min(1.0, sample_rows / total), seed=11).select(text).distinct()
-    rows = sample.select(F.explode(_sets(words)(F.col(text))["h"]).alias("h")).groupBy("h").count().filter(F.col("count") >= least)
-    got = rows.toPandas()
-    h = got["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], got["count"].to_numpy(dtype=np.int64)[order]
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact: 100 * intersection >= percent * union, for sorted arrays."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -279,8 +265,7 @@ def _tile_rows(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ends.join(placed, ["g", "part", "band", "no"]).select("tile", "side", "k", "comp").join(sets, "k")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
-                   sample_rows: int = 5000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per row of ``docs``.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets; a
@@ -289,38 +274,45 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     part and never name a component unless it has no other. Repeated rows and keys all come
     back. Other columns are left out; an empty table gives an empty result.
 
-    Steps: prefixes per row; shingles that prefixes of two or more nodes share; a star per
-    such shingle around its smallest node, so a shingle of K nodes costs K rows; each node
-    is compared with the star node it shares most shingles with; only stars whose members
-    are not yet one component go on to tiles, where pairs of different components are
-    compared. No pair is written unless it links two components.
+    Steps: shingles of the lowest hash range per row; those of two or more nodes; per node,
+    how many of its own prefix are among them (often none: the node is done); a star per
+    shared prefix shingle around its smallest node, so a shingle of K nodes costs K rows;
+    each node is compared with the star node it shares most shingles with; only stars whose
+    members are not yet one component go on to tiles, where pairs of different components
+    are compared. No pair is written unless it links two components. The key must be an
+    integer column.
     """
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(frequent_shingles(docs, text, words, sample_rows))
-    rows = materialize(docs.select(F.col(key).alias("id"), _prefixes(words, percent, shipped)(F.col(text)).alias("f")).select("id", "f.*"))
-    nodes = rows.filter("n > 0").groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    shared_rows = rows.filter("n > 0").select("k", F.explode("tokens").alias("t"))
-    hubs = materialize(shared_rows.groupBy("t").agg(F.min("k").alias("hub"), F.max("k").alias("last")).filter("hub < last").select("t", "hub"))
-    stars = materialize(nodes.select("k", "id", "n", F.explode("tokens").alias("t")).join(hubs, "t").groupBy("k", "hub").agg(
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = materialize(source.mapInPandas(_features(words, percent), "id long, n long, k long, tokens array<long>"))
+    emitted = rows.filter(F.size("tokens") > 0).select("k", "n", "id", F.size("tokens").alias("own"), F.explode("tokens").alias("t"))
+    counts = emitted.groupBy("t").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("times")).filter("low < high").select("t", "times")
+    shared = emitted.join(materialize(counts), "t")
+    # A node can have tokens from several partitions: its rows are the same, only the first of them is kept.
+    per_node = shared.groupBy("k").agg(
+        F.first("n").alias("n"), F.first("own").alias("own"), F.min("id").alias("id"),
+        F.array_sort(F.collect_set(F.struct("times", "t"))).alias("shared"))
+    want = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) - (F.col("own") - F.size("shared"))
+    kept = materialize(per_node.filter(want > 0).select("k", "n", "id", F.explode(F.slice("shared", 1, want.cast("int"))["t"]).alias("t")))
+    hubs = kept.groupBy("t").agg(F.min("k").alias("hub"), F.max("k").alias("last")).filter("hub < last").select("t", "hub")
+    stars = materialize(kept.join(hubs, "t").groupBy("k", "hub").agg(
         F.count("*").alias("shared"), F.first("n").alias("n"), F.first("id").alias("id")))
-    needed = stars.select("id").distinct()
-    wanted = F.broadcast(needed) if stars.count() <= BROADCAST_ROWS else needed
-    near = stars.select("k", "n").distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = materialize(texts.select(_sets(words)(F.col("text")).alias("s")).select("s.*").join(near, "k", "left_semi").dropDuplicates(["k"]))
+    near = materialize(stars.select("k", "n", "id").distinct())
+    wanted = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    chosen = source.join(wanted.select(F.col("id").alias("_id"), F.col("k").alias("_k")), F.col("id").eqNullSafe(F.col("_id")))
+    sets = materialize(chosen.select("_k", _sets(words)(F.col("text")).alias("s")).filter("s.k = _k").select("s.k", "s.h"))
     first = stars.filter("k <> hub").groupBy("k").agg(F.max_by("hub", F.struct("shared", "hub")).alias("b")).withColumnRenamed("k", "a")
     tried = first.join(sets.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(
         sets.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
     links = materialize(tried.mapInPandas(_verify(percent), "a long, b long"))
-    comps = connected_components(near.select(F.col("k").alias("node")), links).withColumnRenamed("node", "k").withColumnRenamed("component", "comp")
+    points = near.select(F.col("k").alias("node"))
+    comps = connected_components(points, links).withColumnRenamed("node", "k").withColumnRenamed("component", "comp")
     members = stars.select(F.col("hub").alias("g"), "k", "n").join(comps, "k")
     tiled = _tile_rows(members, sets, percent)
     more = tiled.repartition("tile").sortWithinPartitions("tile").mapInPandas(_tiles(percent), "a long, b long")
     both = materialize(links.unionByName(more.distinct()))
-    final = connected_components(near.select(F.col("k").alias("node")), both)
-    named = rows.select("id", "n", "k").join(final.select(F.col("node").alias("k"), "component"), "k", "left").select(
-        "id", "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("c"))
-    named = materialize(named)
+    final = connected_components(points, both)
+    named = materialize(rows.select("id", "n", "k").join(final.select(F.col("node").alias("k"), "component"), "k", "left").select(
+        "id", "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("c")))
     least = named.filter("n > 0").groupBy("c").agg(F.min("id").alias("low"))
     return named.join(least, "c", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))

@@ -144,12 +144,42 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.columns import crc_mod4, held_out
+    from tablescope.llm.language import identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs.filter(crc_mod4(F.col("doc_id")) != 2).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.columns import crc_mod4, held_out
+    from tablescope.llm.toxicity import draw_labels, score_toxicity, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter(crc_mod4(F.col("doc_id")) != 2).select("doc_id", "toxic")
+    model = train(docs.join(F.broadcast(draw_labels(labels)), "doc_id").select("text", "toxic"))
+    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.url_model import Rule, filter_urls
+
+    rules = [Rule("org", "/", True), Rule("example.org", "/es/", False), Rule("example.org", "/en/1", False),
+             Rule("com", "/fr/", True), Rule("com", "/de/", False)]
+    return filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_language_id": (language, None),
+    "op2_toxicity": (toxicity, None),
     "op3_packing": (packing, None),
     "op4_chat_formatting": (chat, CHAT_SQL),
     "op5_benchmark_decontamination": (decontamination, None),
     "op6_sharding": (shards, SHARDS_SQL),
     "op7_ngram_jaccard_join": (jaccard, JACCARD_SQL),
     "op8_quality_rules": (quality, QUALITY_SQL),
+    "op9_url_filters": (urls, None),
     "op10_secret_scans": (secrets, None),
 }
