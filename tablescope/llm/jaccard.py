@@ -108,12 +108,12 @@ def _features(words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], It
         met: set[int] = set()
         for b in batches:
             rows = []
-            for i, t in zip(b["id"], b["text"]):
+            for i, row, t in zip(b["id"], b["row"], b["text"]):
                 s = shingle_set(t, words)
                 k = set_key(s)
-                rows.append((i, len(s), k, lowest(s, percent).view(np.int64) if k not in met else s[:0].view(np.int64)))
+                rows.append((i, row, len(s), k, lowest(s, percent).view(np.int64) if k not in met else s[:0].view(np.int64)))
                 met.add(k)
-            yield pd.DataFrame(rows, columns=["id", "n", "k", "tokens"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["id", "row", "n", "k", "tokens"]).astype({"id": "Int64"})
 
     return run
 
@@ -266,13 +266,14 @@ def _tile_rows(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) per row of ``docs``.
+    """(key, text_hash, n_shingles, component_id, leads) per row of ``docs``.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets; a
     component is everything reachable by links, named by its smallest key. Rows without
     words (null, empty or blank text) link with nothing, not with each other. Null keys take
     part and never name a component unless it has no other. Repeated rows and keys all come
-    back. Other columns are left out; an empty table gives an empty result.
+    back. ``leads`` marks the row that stands for its component: the smallest (key,
+    text_hash), null keys last; rows without words lead themselves. Other columns are left out; an empty table gives an empty result.
 
     Steps: shingles of the lowest hash range per row; those of two or more nodes; per node,
     how many of its own prefix are among them (often none: the node is done); a star per
@@ -282,8 +283,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     are compared. No pair is written unless it links two components. The key must be an
     integer column.
     """
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialize(source.mapInPandas(_features(words, percent), "id long, n long, k long, tokens array<long>"))
+    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    rows = materialize(source.mapInPandas(_features(words, percent), "id long, row long, n long, k long, tokens array<long>"))
     emitted = rows.filter(F.size("tokens") > 0).select("k", "n", "id", F.size("tokens").alias("own"), F.explode("tokens").alias("t"))
     counts = emitted.groupBy("t").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("times")).filter("low < high").select("t", "times")
     shared = emitted.join(materialize(counts), "t")
@@ -311,8 +312,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     more = tiled.repartition("tile").sortWithinPartitions("tile").mapInPandas(_tiles(percent), "a long, b long")
     both = materialize(links.unionByName(more.distinct()))
     final = connected_components(points, both)
-    named = materialize(rows.select("id", "n", "k").join(final.select(F.col("node").alias("k"), "component"), "k", "left").select(
-        "id", "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("c")))
-    least = named.filter("n > 0").groupBy("c").agg(F.min("id").alias("low"))
+    named = materialize(rows.select("id", "row", "n", "k").join(final.select(F.col("node").alias("k"), "component"), "k", "left").select(
+        "id", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("c")))
+    own = F.struct(F.col("id").isNull(), "id", "row")
+    least = named.filter("n > 0").groupBy("c").agg(F.min("id").alias("low"), F.min(own).alias("first"))
     return named.join(least, "c", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))
+        F.col("id").alias(key), F.col("row").alias("text_hash"), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"),
+        ((F.col("n") == 0) | (own == F.col("first"))).alias("leads"))

@@ -141,7 +141,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescope.llm.jaccard import jaccard_groups
 
-    return jaccard_groups(read(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard_groups(read(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
