@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than space and tab to carriage return.
@@ -53,3 +54,18 @@ def running(values: Column, step: Callable[[Column, Column], Column], start: Col
         return let(parts, joined)
 
     return F.when(F.size(values) > 0, let(values, of)).otherwise(F.slice(F.array(start), 1, 0))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows in an Arrow batch for the jobs that run inside; set back afterwards.
+
+    For functions that return long arrays: memory of a Python worker grows with its batch.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

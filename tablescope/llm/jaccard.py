@@ -20,9 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.llm.columns import arrow_rows
 from tablescope.operators.components import connected_components
 from tablescope.session import materialize
 
+#: Rows of an Arrow batch: texts and shingle arrays are long.
+BATCH_ROWS = 500
 #: Members of a block; a tile compares two blocks.
 BLOCK = 512
 #: Rows up to which the ids of candidate documents are broadcast (16 MB); beyond it, they are shuffled.
@@ -111,7 +114,7 @@ def _features(words: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], It
             for i, row, t in zip(b["id"], b["row"], b["text"]):
                 s = shingle_set(t, words)
                 k = set_key(s)
-                rows.append((i, row, len(s), k, lowest(s, percent).view(np.int64) if k not in met else s[:0].view(np.int64)))
+                rows.append((i, row, len(s), k, lowest(s, percent).view(np.int64).copy() if k not in met else s[:0].view(np.int64)))
                 met.add(k)
             yield pd.DataFrame(rows, columns=["id", "row", "n", "k", "tokens"]).astype({"id": "Int64"})
 
@@ -284,7 +287,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     integer column.
     """
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    rows = materialize(source.mapInPandas(_features(words, percent), "id long, row long, n long, k long, tokens array<long>"))
+    spark = docs.sparkSession
+    with arrow_rows(spark, BATCH_ROWS):
+        rows = materialize(source.mapInPandas(_features(words, percent), "id long, row long, n long, k long, tokens array<long>"))
     emitted = rows.filter(F.size("tokens") > 0).select("k", "n", "id", F.size("tokens").alias("own"), F.explode("tokens").alias("t"))
     counts = emitted.groupBy("t").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("times")).filter("low < high").select("t", "times")
     shared = emitted.join(materialize(counts), "t")
@@ -300,17 +305,20 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     near = materialize(stars.select("k", "n", "id").distinct())
     wanted = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
     chosen = source.join(wanted.select(F.col("id").alias("_id"), F.col("k").alias("_k")), F.col("id").eqNullSafe(F.col("_id")))
-    sets = materialize(chosen.select("_k", _sets(words)(F.col("text")).alias("s")).filter("s.k = _k").select("s.k", "s.h"))
+    with arrow_rows(spark, BATCH_ROWS):
+        sets = materialize(chosen.select("_k", _sets(words)(F.col("text")).alias("s")).filter("s.k = _k").select("s.k", "s.h"))
     first = stars.filter("k <> hub").groupBy("k").agg(F.max_by("hub", F.struct("shared", "hub")).alias("b")).withColumnRenamed("k", "a")
     tried = first.join(sets.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(
         sets.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
-    links = materialize(tried.mapInPandas(_verify(percent), "a long, b long"))
+    with arrow_rows(spark, BATCH_ROWS):
+        links = materialize(tried.mapInPandas(_verify(percent), "a long, b long"))
     points = near.select(F.col("k").alias("node"))
     comps = connected_components(points, links).withColumnRenamed("node", "k").withColumnRenamed("component", "comp")
     members = stars.select(F.col("hub").alias("g"), "k", "n").join(comps, "k")
     tiled = _tile_rows(members, sets, percent)
     more = tiled.repartition("tile").sortWithinPartitions("tile").mapInPandas(_tiles(percent), "a long, b long")
-    both = materialize(links.unionByName(more.distinct()))
+    with arrow_rows(spark, BATCH_ROWS):
+        both = materialize(links.unionByName(more.distinct()))
     final = connected_components(points, both)
     named = materialize(rows.select("id", "row", "n", "k").join(final.select(F.col("node").alias("k"), "component"), "k", "left").select(
         "id", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("c")))
