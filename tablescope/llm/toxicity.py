@@ -27,11 +27,11 @@ DISGUISED, REPEATED, SEPARATED = math.log(0.05), math.log(0.1), math.log(0.3)
 #: States kept per step of the decoder.
 BEAM = 64
 #: Prefix lengths of the features besides whole words.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Restored tokens remembered in a task.
 REMEMBERED = 200_000
 #: The strongest word of a text counts fully, the next ones count this share each.
-NEXT, NEXT_SHARE = 4, 0.1
+NEXT, NEXT_SHARE = 4, 0.3
 
 _TOKEN = re.compile(r"\S+")
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -289,8 +289,8 @@ def train(labelled: DataFrame, per_class: int = 4000, least_texts: int = 5) -> M
         rows = part.select("text", "toxic").mapInPandas(_features(shipped), "feature string, toxic int, n long").groupBy("feature").agg(
             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
         ).filter(F.col("bad") >= least_texts).toPandas()
-        odds = np.log((rows["bad"] + 0.1) / t1) - np.log((rows["clean"] + 3.0) / t0)
-        return {f: float(x) for f, x in zip(rows["feature"], odds) if x > 1.5}
+        odds = np.log((rows["bad"] + 0.1) / t1) - np.log((rows["clean"] + 1.0) / t0)
+        return {f: float(x) for f, x in zip(rows["feature"], odds) if x > 1.0}
 
     first = Model(chars, weigh(counted.filter("half = 0")), 0.0, 0.0, 0.5)
     strength = _strengths(sc.broadcast(first))
