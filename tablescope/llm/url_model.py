@@ -132,8 +132,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", miss: flo
 
     A row that a rule fits gets the rule's verdict. Rows with a rule are the accepted and
     rejected examples: three quarters of them (by a hash of the url) count into the two
-    models, the rest calibrates the threshold: the largest score difference that blocks at
-    most the share ``miss`` of accepted examples. A row without a rule is allowed if its
+    models, the rest calibrates the threshold, which blocks at most the share ``miss`` of
+    accepted examples (see ``calibrate``). A row without a rule is allowed if its
     score reaches the threshold. The models read host and path. With examples of one kind only, or none,
     rows without a rule are allowed, score 0. Null urls have empty host and path and are
     scored as empty text. Rows are judged one by one, repeated rows get equal verdicts,
@@ -159,16 +159,20 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", miss: flo
 
 
 def calibrate(scored: DataFrame, miss: float, bins: int = 2000, reach: float = 5.0) -> float:
-    """Largest threshold below which at most the share ``miss`` of accepted rows lies.
+    """Threshold below which at most the share ``miss`` of accepted rows lies.
 
-    Scores are counted into ``bins`` steps between -reach and reach, so the driver gets at
-    most ``bins`` rows. 0 without accepted rows.
+    The largest such score; where at most that share of rejected rows lies above a lower
+    score, the middle between the two. Scores are counted into ``bins`` steps between -reach
+    and reach, so the driver gets at most 2 * bins rows. 0 without rows of both kinds.
     """
     step = F.floor((F.greatest(F.lit(-reach), F.least(F.lit(reach - 1e-9), F.col("score"))) + reach) / (2 * reach) * bins).cast("int")
-    held = np.zeros(bins)
-    for at, n in scored.filter("label = 1").groupBy(step.alias("at")).count().collect():
-        held[at] += n
-    if not held.sum():
+    held = np.zeros((2, bins))
+    for label, at, n in scored.groupBy("label", step.alias("at")).count().collect():
+        held[label, at] += n
+    if not held[0].sum() or not held[1].sum():
         return 0.0
-    below = np.concatenate([[0.0], np.cumsum(held)]) / held.sum()
-    return float(np.flatnonzero(below <= miss)[-1] / bins * 2 * reach - reach)
+    accepted_below = np.concatenate([[0.0], np.cumsum(held[1])]) / held[1].sum()
+    rejected_from = 1 - np.concatenate([[0.0], np.cumsum(held[0])]) / held[0].sum()
+    high = int(np.flatnonzero(accepted_below <= miss)[-1])
+    low = int(np.flatnonzero(rejected_from <= miss)[0])
+    return float(min(high, (high + low) / 2) / bins * 2 * reach - reach)
