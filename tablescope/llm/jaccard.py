@@ -290,13 +290,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     spark = docs.sparkSession
     with arrow_rows(spark, BATCH_ROWS):
         rows = materialize(source.mapInPandas(_features(words, percent), "id long, row long, n long, k long, tokens array<long>"))
-    emitted = rows.filter(F.size("tokens") > 0).select("k", "n", "id", F.size("tokens").alias("own"), F.explode("tokens").alias("t"))
+    facts = rows.filter(F.size("tokens") > 0).groupBy("k").agg(
+        F.first("n").alias("n"), F.first(F.size("tokens")).alias("own"), F.min("id").alias("id"))
+    emitted = rows.select("k", F.explode("tokens").alias("t"))
     counts = emitted.groupBy("t").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("times")).filter("low < high").select("t", "times")
     shared = emitted.join(materialize(counts), "t")
-    # A node can have tokens from several partitions: its rows are the same, only the first of them is kept.
-    per_node = shared.groupBy("k").agg(
-        F.first("n").alias("n"), F.first("own").alias("own"), F.min("id").alias("id"),
-        F.array_sort(F.collect_set(F.struct("times", "t"))).alias("shared"))
+    # A node met in several partitions has the same rows several times: the set keeps one of each.
+    per_node = shared.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("times", "t"))).alias("shared")).join(facts, "k")
     want = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) - (F.col("own") - F.size("shared"))
     kept = materialize(per_node.filter(want > 0).select("k", "n", "id", F.explode(F.slice("shared", 1, want.cast("int"))["t"]).alias("t")))
     hubs = kept.groupBy("t").agg(F.min("k").alias("hub"), F.max("k").alias("last")).filter("hub < last").select("t", "hub")
@@ -323,7 +323,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     named = materialize(rows.select("id", "row", "n", "k").join(final.select(F.col("node").alias("k"), "component"), "k", "left").select(
         "id", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "k")).alias("c")))
     own = F.struct(F.col("id").isNull(), "id", "row")
-    least = named.filter("n > 0").groupBy("c").agg(F.min("id").alias("low"), F.min(own).alias("first"))
+    # written first, so that the join below has plain exchanges and a large component can be split
+    least = materialize(named.filter("n > 0").groupBy("c").agg(F.min("id").alias("low"), F.min(own).alias("first")))
     return named.join(least, "c", "left").select(
         F.col("id").alias(key), F.col("row").alias("text_hash"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"),
