@@ -27,7 +27,7 @@ def cells(s, d):
 
     made = F.array(
         cell("A", None, C("price")),
-        cell("B", F.concat(L("=A"), r, L("*2+$A"), r).substr(1, 20)),
+        cell("B", F.concat(L("=A"), r, L("*2+$A"), r)),
         cell("C", F.when(first, L("=B1")).otherwise(F.concat(L("=B"), r, L("+C"), up))),
         cell("D", L("=SUM(A1:B10)"), when=first),
         cell("E", F.concat(L("='S0'!A1+S"), (C("n") - 1).cast("string"), L("!D1")), when=first & (C("n") > 0)),

@@ -14,7 +14,8 @@ from tablescope.plans.roles import PrepSpec, Roles
 
 C, L = F.col, F.lit
 FEATURES = ("l_quantity", "l_discount", "l_tax", "l_returnflag")
-FAST = {"trees": 20, "max_depth": 5, "rounds": 10}
+#: Boosting rounds of the registered queries; forests and all else run with the defaults of the library.
+BOOST = {"rounds": 20}
 
 
 def _lines(s, d):
@@ -67,8 +68,8 @@ def _class_weights(s, d):
 
 
 def _importance(s, d):
-    out = W.fit_supervised(_lines(s, d), Roles(FEATURES, "size"), PrepSpec(), "random_forest", "classification", KEY, **FAST)
-    score = K.feature_importance(out.model, out.rows, out.model.pre.columns(), ["_row_id"])
+    out = W.fit_supervised(_lines(s, d), Roles(FEATURES, "size"), PrepSpec(), "random_forest", "classification", KEY)
+    score = K.feature_importance(out.model, out.rows, out.model.pre.positions(), ["_row_id"])
     low = R.low_importance(score, 0.2, ["size"]).select("feature", L(True).alias("is_low"))
     return score.join(low, "feature", "left").select("feature", F.coalesce("is_low", L(False)).alias("is_low"), (C("score") >= 0).alias("ok"))
 
@@ -78,7 +79,7 @@ def _permutation(s, d):
     roles = Roles(("l_quantity", "l_discount", "l_tax"), "size")
     ready, pre, _ = W.split_and_fit_preprocessor(df, roles, PrepSpec(), "classification", KEY, {})
     model = K.fit_vectors(ready.filter("_split_role = 'train'"), pre, "size", "logistic_regression", "classification")
-    score = K.feature_importance(model, ready, pre.columns(), ["_row_id"], repeats=3)
+    score = K.feature_importance(model, ready, pre.positions(), ["_row_id"])
     return score.select("feature", (C("score") > 0.1).alias("matters"))
 
 
@@ -91,7 +92,7 @@ def _predict(s, d):
 
 
 def _prepare(s, d):
-    out = W.prepare(_lines(s, d), Roles(FEATURES, "size"), PrepSpec(), "random_forest", KEY, **FAST)
+    out = W.prepare(_lines(s, d), Roles(FEATURES, "size"), PrepSpec(), "random_forest", KEY)
     return out.rows.agg(
         F.count(L(1)).alias("n"), F.bool_and(C("norm_l_quantity").between(0, 1)).alias("scaled"), F.bool_and(C("_review_priority").between(30, 100)).alias("priority_ok"),
         F.bool_and(C("_nearest_major_class").isin("hi", "lo")).alias("class_ok"),
@@ -106,7 +107,7 @@ def _surface_source(s, d):
 
 
 def _snapshot(s, d):
-    return S.boundary_snapshot(_surface_source(s, d), Roles(("c_acctbal", "c_nationkey"), "class"), PrepSpec(), "random_forest", order_by=["c_custkey"], **FAST)
+    return S.boundary_snapshot(_surface_source(s, d), Roles(("c_acctbal", "c_nationkey"), "class"), PrepSpec(), "random_forest", order_by=["c_custkey"])
 
 
 def _snapshot_points(s, d):
@@ -228,15 +229,15 @@ def _cluster_flow(s, d):
 
 
 QUERIES = {
-    "rf_classify": (lambda s, d: _classify(s, d, "random_forest", **FAST), None),
-    "gbt_classify": (lambda s, d: _classify(s, d, "gradient_boosting", **FAST), None),
+    "rf_classify": (lambda s, d: _classify(s, d, "random_forest"), None),
+    "gbt_classify": (lambda s, d: _classify(s, d, "gradient_boosting", **BOOST), None),
     "svm_classify": (lambda s, d: _classify(s, d, "svm"), None),
     "logreg": (lambda s, d: _classify(s, d, "logistic_regression"), None),
-    "rf_regress": (lambda s, d: _regress(s, d, "random_forest", **FAST), None),
-    "gbt_regress": (lambda s, d: _regress(s, d, "gradient_boosting", **FAST), None),
+    "rf_regress": (lambda s, d: _regress(s, d, "random_forest"), None),
+    "gbt_regress": (lambda s, d: _regress(s, d, "gradient_boosting", **BOOST), None),
     "svm_regress": (lambda s, d: _regress(s, d, "svm"), None),
     "linear_regress": (lambda s, d: _regress(s, d, "linear_regression"), None),
-    "rf_multiclass": (lambda s, d: _multiclass(s, d, "random_forest", **FAST), None),
+    "rf_multiclass": (lambda s, d: _multiclass(s, d, "random_forest"), None),
     "gbt_multiclass": (lambda s, d: _multiclass(s, d, "gradient_boosting", rounds=3), None),
     "linear_regression_1d": (
         _ols,

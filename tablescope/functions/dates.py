@@ -114,11 +114,13 @@ def text_(x: Column, fmt: str) -> Column:
         from tablescope.functions.numeric import round_
 
         value = F.when(canon_str(x) == "", F.lit(0.0)).otherwise(x.try_cast("double"))
+        large = canon_str(value)  # no digits behind the point are left from 9e15 on
         if fmt == "0":
-            out = F.floor(value + F.lit(0.5)).cast("string")
+            out = F.when(F.abs(value) < F.lit(9e15), F.floor(value + F.lit(0.5)).cast("string")).otherwise(large)
         else:
-            out = F.format_string("%.2f", round_(value, 2))
-        return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(9e15)), out)
+            out = F.when(F.abs(value) < F.lit(9e15), F.format_string("%.2f", round_(value, 2))).when(
+                F.abs(value) < F.lit(1e21), F.concat(large, F.lit(".00"))).otherwise(large)
+        return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), out)
     if fmt == "yyyy-mm-dd":
         return F.date_format(as_date(x), "yyyy-MM-dd")
     return F.lit(None).cast("string")

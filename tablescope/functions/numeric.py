@@ -171,16 +171,20 @@ def round_(c: Column, digits: int = 0) -> Column:
 
     The product x*10^d is rounded in floating point; splitting x in two halves gives
     the part lost (error-free product), which decides values that look like ties.
+    From 9e15 on the product has no digits behind the point, and x stays as it is.
     """
-    if not 0 <= digits <= 8:
-        raise ValueError("round_ supports 0 to 8 digits")
+    if not 0 <= digits <= 300:
+        raise ValueError("digits must be between 0 and 300")
     x = num(c)
     size = F.abs(x)
     scale = F.lit(float(10**digits))
     scaled = size * scale
     wide = size * F.lit(134217729.0)  # 2^27 + 1
     high = wide - (wide - size)
-    lost = (high * scale - scaled) + (size - high) * scale
+    power = float(10**digits)
+    top = 134217729.0 * power - (134217729.0 * power - power) if digits < 280 else power
+    low = power - top
+    lost = ((high * top - scaled) + high * low + (size - high) * top) + (size - high) * low
     whole = F.floor(scaled).cast("double")
     up = ((scaled - whole) - F.lit(0.5)) + lost >= 0
     rounded = F.when(up, whole + F.lit(1.0)).otherwise(whole) / scale

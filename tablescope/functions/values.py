@@ -73,16 +73,32 @@ def num(c: Column) -> Column:
     return F.when(finite(parsed), parsed).otherwise(F.lit(0.0))
 
 
+def _plain_digits(text: Column) -> Column:
+    """``d.dddE+-x`` written out between 1e-6 and 1e21, else as ``d.ddde+x``; other text without a final ``.0``."""
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"^-|\.0$", "")
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    size = F.length(digits)
+    large = F.when(size <= exponent + 1, F.concat(digits, F.repeat(F.lit("0"), exponent + 1 - size))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, size)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    written = F.when(exponent.between(0, 20), large).when(exponent.between(-6, -1), small).otherwise(
+        F.concat(mantissa, F.when(exponent > 0, F.lit("e+")).otherwise(F.lit("e")), exponent.cast("string")))
+    return F.when(text.contains("E"), F.concat(sign, written)).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+
 def canon_str(c: Column) -> Column:
-    """Text used for lookup equality: NULL is "", 1.0 reads as "1"."""
+    """Text used for lookup equality: NULL is "", 1.0 reads as "1", numbers in plain digits.
+
+    Plain digits from 1e-6 up to 1e21, with an exponent outside: 12345678.9, 0.0001, 1e+21.
+    """
     as_double = c.try_cast("double")
-    whole = (
-        F.typeof(c).isin(*_FLOAT_NAMES)
-        & (F.abs(as_double) < F.lit(1e15))
-        & (F.floor(as_double) == as_double)
-    )
+    floating = F.typeof(c).isin(*_FLOAT_NAMES)
+    whole = floating & (F.abs(as_double) < F.lit(1e15)) & (F.floor(as_double) == as_double)
     return F.coalesce(
-        F.when(whole, as_double.try_cast("bigint").cast("string")).otherwise(c.cast("string")),
+        F.when(whole, as_double.try_cast("bigint").cast("string"))
+        .when(floating, _plain_digits(c.cast("string"))).otherwise(c.cast("string")),
         F.lit(""),
     )
 

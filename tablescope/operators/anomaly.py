@@ -8,10 +8,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescope.operators.neighbors import matrix
 from tablescope.operators.ordering import exact_quantiles, hash_order, number_rows
+from tablescope.session import materialize
 
 # Forest size, rows per tree, reason texts.
 TREES = 100
@@ -58,8 +60,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple
 def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], seed: int = 42, trees: int = TREES) -> DataFrame:
     """``df`` plus ``_raw_score`` in (0, 1), higher is stranger.
 
-    A pool of at most trees x 256 rows is drawn by key hash; each tree is grown from 256
-    of them in its own task. Only the trees (a fixed number of nodes) reach every task
+    A pool of at most trees x 256 rows is drawn by key hash; each tree takes 256 of them
+    (all, if there are fewer) by a hash of row and tree and is grown in its own task. Only the trees (a fixed number of nodes) reach every task
     that scores, and only the feature columns pass through Python.
     """
     spark = df.sparkSession
@@ -72,10 +74,10 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], see
     if n > 10 * wanted:  # hashes are uniform: a prefix bound leaves a little more than needed
         pool = pool.filter(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") < F.lit(share * 2**32))
     pool = pool.orderBy("_h").limit(wanted)
-    if wanted == trees * size and n > 10 * wanted:
-        sampled = pool.withColumn("_t", F.pmod(F.xxhash64("_h"), F.lit(trees)).cast("int"))
-    else:
-        sampled = pool.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    pool = materialize(pool)
+    each = pool.select("_h", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_t"))
+    place = F.row_number().over(W.partitionBy("_t").orderBy(F.xxhash64("_h", "_t"), "_h"))
+    sampled = each.withColumn("_n", place).filter(F.col("_n") <= size).drop("_n").join(pool, "_h")
     width = len(cols)
     depth = max(1, math.ceil(math.log2(max(2, size))))
 
@@ -84,8 +86,6 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], key: Sequence[str], see
         rng = np.random.default_rng([seed, t])
         frame = frame.sort_values("_h")
         x = frame[[f"x{i}" for i in range(width)]].to_numpy(dtype=float)
-        if len(x) > size:
-            x = x[rng.choice(len(x), size, replace=False)]
         out = pd.DataFrame(_grow(x, rng, depth), columns=["node", "feature", "cut", "left", "right", "length"])
         out.insert(0, "tree", t)
         return out

@@ -39,19 +39,17 @@ def column_index(label: Column) -> Column:
 
 
 def column_label(index: Column) -> Column:
-    """0 -> A, 26 -> AA (up to three letters)."""
-    def letter(x: Column) -> Column:
-        return F.char(x + 65)
-
-    one, two = F.lit(26), F.lit(26 + 26 * 26)
-    i2, i3 = index - one, index - two
-    return (
-        F.when(index < one, letter(index))
-        .when(index < two, F.concat(letter(F.floor(i2 / 26)), letter(F.pmod(i2, F.lit(26)))))
-        .otherwise(F.concat(
-            letter(F.floor(i3 / 676)), letter(F.pmod(F.floor(i3 / 26), F.lit(26))), letter(F.pmod(i3, F.lit(26)))
-        ))
-    )
+    """0 -> A, 26 -> AA, 702 -> AAA and on, up to seven letters (every 32-bit index)."""
+    out, offset = F.lit(None).cast("string"), 0
+    whens = []
+    for length in range(1, 8):
+        i = index.cast("long") - offset
+        letters = [F.char(F.pmod(F.floor(i / F.lit(26**k)), F.lit(26)) + 65) for k in range(length - 1, -1, -1)]
+        offset += 26**length
+        whens.append((index < offset, F.concat(*letters)))
+    for fits, label in reversed(whens):
+        out = F.when(fits, label).otherwise(out)
+    return out
 
 
 def parse_address(address: Column) -> tuple[Column, Column]:
@@ -80,7 +78,7 @@ def extract_formulas(cells: DataFrame) -> DataFrame:
 def _place(ref: Column) -> tuple[Column, Column]:
     """0-based (row, column) of a reference known to be well formed; no pattern is run again."""
     letters = F.rtrim(ref, F.lit("0123456789"))
-    return F.substring(ref, F.length(letters) + 1, F.lit(10)).try_cast("int") - 1, column_index(letters)
+    return F.substring(ref, F.length(letters) + 1, F.length(ref)).try_cast("int") - 1, column_index(letters)
 
 
 def formula_dependencies(cells: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from tablescope.operators.ordering import exact_quantiles
 POSITIVE_LABELS = ("1", "true", "yes", "anomaly", "outlier", "bad", "noise")
 NEGATIVE_LABELS = ("0", "false", "no", "normal", "clean", "ok")
 
-_DENSE_LABELS = 1000
+_LABEL_BLOCKS = 16
+_CLUSTER_BLOCK = 10_000
 
 
 def _long(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,23 +76,21 @@ def class_metrics(
     return out
 
 
-def confusion_matrix(scored: DataFrame, truth: str, pred: str) -> DataFrame:
-    """(truth, prediction, n) over the sorted union of labels, zeros included.
+def confusion_matrix(scored: DataFrame, truth: str, pred: str, dense: bool = True) -> DataFrame:
+    """(truth, prediction, n) over the union of labels.
 
-    With very many labels only the non-zero cells are returned.
+    ``dense`` returns every pair of labels, zeros included: as many rows as labels squared,
+    whatever their number. Otherwise only cells that occur.
     """
     cells = scored.groupBy(canon_str(F.col(truth)).alias("truth"), canon_str(F.col(pred)).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
-    labels = cells.select(F.explode(F.array("truth", "prediction")).alias("label")).distinct()
-    found = sorted(r["label"] for r in labels.limit(_DENSE_LABELS + 1).collect())
-    if len(found) > _DENSE_LABELS:
+    if not dense:
         return cells
-    every = F.array(*[F.lit(v) for v in found])
-    rows = labels.join(cells, labels["label"] == cells["truth"], "left").groupBy("label").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("prediction").isNotNull(), F.struct("prediction", "n")))).alias("m")
-    )
-    return rows.select(F.col("label").alias("truth"), "m", F.explode(every).alias("prediction")).select(
-        "truth", "prediction", F.coalesce(F.element_at("m", F.col("prediction")), F.lit(0)).cast("bigint").alias("n")
-    )
+    labels = cells.select(F.explode(F.array("truth", "prediction")).alias("label")).distinct()
+    # every label meets every block of labels, so no task holds all of them
+    left = labels.select(F.col("label").alias("truth"), F.explode(F.sequence(F.lit(0), F.lit(_LABEL_BLOCKS - 1))).alias("_b"))
+    right = labels.select(F.col("label").alias("prediction"), F.pmod(F.xxhash64("label"), F.lit(_LABEL_BLOCKS)).cast("int").alias("_b"))
+    return left.join(right, "_b").join(cells, ["truth", "prediction"], "left").select(
+        "truth", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def regression_metrics(scored: DataFrame, actual: str, predicted: str, split: str = "_split_role") -> DataFrame:
@@ -187,19 +186,22 @@ def silhouette_squared(df: DataFrame, cols: list[str], cluster: str) -> DataFram
     """Mean silhouette under squared Euclidean distance, exact in one pass over the rows.
 
     The mean squared distance to a cluster follows from its size, mean and mean square,
-    so no pair of rows is formed. Clusters are carried as one array of statistics.
+    so no pair of rows is formed. Clusters are carried as arrays of statistics, about
+    _CLUSTER_BLOCK in each; with more clusters, rows meet one array after the other. Fewer
+    than two clusters are refused.
     """
-    from tablescope.session import small
+    from tablescope.session import materialize
 
     moments = df.groupBy(F.col(cluster).alias("_c")).agg(
         F.count(F.lit(1)).alias("k"), F.array(*[F.avg(c) for c in cols]).alias("m"),
         F.avg(reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in cols])).alias("q"),
     )
-    stats = moments.limit(10_001).collect()
-    if not 2 <= len(stats) <= 10_000:
-        raise ValueError("silhouette needs 2 to 10,000 clusters")
-    spark = df.sparkSession
-    table = small(spark.createDataFrame([(1, [tuple(r) for r in stats])], f"_one int, _s array<struct<c:{dict(df.dtypes)[cluster]},k:bigint,m:array<double>,q:double>>"))
+    moments = materialize(moments)
+    count = moments.count()
+    if count < 2:
+        raise ValueError("silhouette compares clusters: at least two are needed")
+    blocks = -(-count // _CLUSTER_BLOCK)
+    dealt = moments.withColumn("_b", F.pmod(F.xxhash64("_c"), F.lit(blocks)))
     x = F.array(*[F.col(c).cast("double") for c in cols])
     own = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
 
@@ -207,11 +209,15 @@ def silhouette_squared(df: DataFrame, cols: list[str], cluster: str) -> DataFram
         dot = F.aggregate(F.zip_with(x, s["m"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
         return F.greatest(own - 2 * dot + s["q"], F.lit(0.0))
 
-    joined = df.withColumn("_one", F.lit(1)).join(table, "_one")
-    mine = F.filter("_s", lambda s: s["c"] == F.col(cluster))[0]
-    others = F.filter("_s", lambda s: s["c"] != F.col(cluster))
-    a = F.when(mine["k"] > 1, spread(mine) * mine["k"] / (mine["k"] - 1))
-    b = F.array_min(F.transform(others, spread))
+    rows = df.withColumns({"_one": F.lit(1), "_a": F.lit(None).cast("double"), "_near": F.lit(None).cast("double")})
+    for i in range(blocks):
+        block = dealt.filter(F.col("_b") == i).agg(F.collect_list(F.struct(F.col("_c").alias("c"), "k", "m", "q")).alias("_s")).withColumn("_one", F.lit(1))
+        mine = F.get(F.filter("_s", lambda s: s["c"] == F.col(cluster)), F.lit(0))
+        others = F.filter("_s", lambda s: s["c"] != F.col(cluster))
+        rows = rows.join(F.broadcast(block), "_one").withColumns({
+            "_a": F.coalesce("_a", F.when(mine["k"] > 1, spread(mine) * mine["k"] / (mine["k"] - 1))),
+            "_near": F.least("_near", F.array_min(F.transform(others, spread))),
+        }).drop("_s")
+    a, b = F.col("_a"), F.col("_near")
     value = F.when(a.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
-    return joined.agg(F.avg(value).alias("silhouette_squared"))
-
+    return rows.agg(F.avg(value).alias("silhouette_squared"))

@@ -29,6 +29,7 @@ ALGORITHMS = ("random_forest", "gradient_boosting", "svm", "logistic_regression"
 
 TREES = 100
 MAX_DEPTH = 10
+ROUNDS = 100
 _FOURIER = 64
 _TREE_LIKE = ("random_forest", "gradient_boosting")
 
@@ -57,7 +58,7 @@ def build_estimator(algorithm: str, classification: bool, rows: int, classes: in
         kind = RandomForestClassifier if classification else RandomForestRegressor
         return kind(numTrees=trees, maxDepth=depth, seed=42, maxBins=params.get("max_bins", 64), **cols)
     if algorithm == "gradient_boosting":
-        rounds = {"maxIter": params.get("rounds", 20), "maxDepth": 3, "stepSize": 0.1, "seed": 42}
+        rounds = {"maxIter": params.get("rounds", ROUNDS), "maxDepth": 3, "stepSize": 0.1, "seed": 42}
         if not classification:
             return GBTRegressor(**rounds, **cols)
         one = GBTClassifier(**rounds, **cols)
@@ -200,7 +201,7 @@ def predict(model: FittedModel, df: DataFrame) -> DataFrame:
     """Batch prediction; all feature columns must be there."""
     absent = [c for c in model.features if c not in df.columns]
     if absent:
-        raise ValueError(f"Feature columns mismatch: missing {absent}")
+        raise ValueError(f"the table lacks feature columns the model was fitted with; missing: {absent}")
     return model.transform(df)
 
 
@@ -243,7 +244,9 @@ def load_model(spark: SparkSession, path: str) -> FittedModel:
 def feature_importance(
     model: FittedModel, vectors: DataFrame, names: Sequence[str], key: Sequence[str], repeats: int = 10, seed: int = 42,
 ) -> DataFrame:
-    """(feature, score): tree importances, else the mean score lost when a feature is shuffled.
+    """(feature, score), highest first: tree importances, else the mean score lost when a feature is shuffled.
+
+    ``names`` has one entry per position of the feature vector (``Preprocessor.positions``).
 
     Rows are numbered in hash order once; a repeat pairs every row with the one a random
     shift away, and all features are scored in the same pass.
@@ -251,7 +254,9 @@ def feature_importance(
     spark = vectors.sparkSession
     found = model.importances()
     if found is not None:
-        return spark.createDataFrame([(n, float(s)) for n, s in zip(names, found)], "feature string, score double")
+        if len(found) != len(names):
+            raise ValueError(f"{len(names)} names for a vector of {len(found)} positions")
+        return _ranked(spark, [(n, float(s)) for n, s in zip(names, found)])
     base = vectors.select(*key, "features", F.col(f"`{model.label}`").alias("_label"))
     rows = number_rows(base, [hash_order(key, seed), *key], "_n").drop(*key)
     total = rows.count()
@@ -272,7 +277,11 @@ def feature_importance(
     for part in parts:
         for r in part.collect():  # one row per feature
             lost[r["_f"]] = lost.get(r["_f"], 0.0) + (best - r["score"]) / repeats
-    return spark.createDataFrame([(n, max(0.0, float(lost[i]))) for i, n in enumerate(names)], "feature string, score double")
+    return _ranked(spark, [(n, max(0.0, float(lost[i]))) for i, n in enumerate(names)])
+
+
+def _ranked(spark: SparkSession, scores: list[tuple[str, float]]) -> DataFrame:
+    return spark.createDataFrame(sorted(scores, key=lambda x: (-x[1], x[0])), "feature string, score double")
 
 
 def _score(model: FittedModel, rows: DataFrame) -> DataFrame:

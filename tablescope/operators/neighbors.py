@@ -46,6 +46,26 @@ def eps_join(df: DataFrame, cols: Sequence[str], eps: float, key: str) -> DataFr
     return pairs.select("left", "right", gap.alias("distance")).filter(F.col("distance") <= F.lit(eps))
 
 
+def _best_cut(rows: np.ndarray) -> tuple[int, float]:
+    """Axis and cut that separate ``rows``: the widest axis whose median leaves about half on
+    either side, else the one nearest to that. A median at the maximum (flags, codes) moves
+    down to the next smaller value, so a cut always leaves rows on both sides."""
+    best, off = (0, float(rows[:, 0].max())), 1.0
+    for i in np.argsort(rows.min(axis=0) - rows.max(axis=0), kind="stable"):
+        x = rows[:, i]
+        at, top = float(np.median(x)), float(x.max())
+        if x.min() == top:
+            continue
+        if at >= top:
+            at = float(x[x < top].max())
+        away = abs(float(np.mean(x <= at)) - 0.5)
+        if away <= 0.15:
+            return int(i), at
+        if away < off:
+            best, off = (int(i), at), away
+    return best
+
+
 def _split_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Axis and cut per node of a complete binary tree over a bounded sample."""
     nodes = (1 << depth) - 1
@@ -54,8 +74,7 @@ def _split_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     for node in range(nodes):
         rows = groups.pop(node)
         if len(rows):
-            axis[node] = int(np.argmax(rows.max(axis=0) - rows.min(axis=0)))
-            cut[node] = float(np.median(rows[:, axis[node]]))
+            axis[node], cut[node] = _best_cut(rows)
         below = rows[:, axis[node]] <= cut[node] if len(rows) else np.zeros(0, dtype=bool)
         groups[2 * node + 1], groups[2 * node + 2] = rows[below], rows[~below]
     return axis, cut

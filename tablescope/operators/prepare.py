@@ -105,6 +105,12 @@ class Dictionary:
     values: list[str] | None = None
     table: DataFrame | None = None
 
+    def ordered(self) -> list[str]:
+        """All categories by code; for names of matrix columns, which are as many."""
+        if self.values is not None:
+            return self.values
+        return [r["value"] for r in self.table.orderBy("code").select("value").collect()]
+
 
 def dictionaries(df: DataFrame, cols: Sequence[str]) -> dict[str, Dictionary]:
     if not cols:
@@ -149,17 +155,25 @@ def label_encode(df: DataFrame, cols: Sequence[str], fitted: dict[str, Dictionar
 
 
 def onehot(df: DataFrame, cols: Sequence[str], fitted: dict[str, Dictionary] | None = None) -> DataFrame:
-    """One 0/1 column ``<col>_<value>`` per category of the small dictionaries."""
+    """One 0/1 column ``<col>_<value>`` per category, whatever their number.
+
+    The result is as wide as the categories asked for; ``onehot_rows`` keeps the table
+    narrow.
+    """
     fitted = fitted or dictionaries(df, cols)
     flags = {}
     for c in cols:
-        if fitted[c].values is None:
-            raise ValueError(f"{c} has {fitted[c].size} categories; encode it into the feature vector instead")
-        for v in fitted[c].values:
+        for v in fitted[c].ordered():
             flags[f"{c}_{v}"] = F.coalesce(_text(df, c) == v, F.lit(False)).cast("double")
     return df.withColumns(flags).drop(*cols)
 
 
+def onehot_rows(df: DataFrame, key: Sequence[str], col: str, fitted: dict[str, Dictionary] | None = None) -> DataFrame:
+    """(key.., position, value): the one 1 of each row's one-hot block; value 0 and position -1 if unseen."""
+    coded = label_encode(df.select(*key, col), [col], fitted)
+    return coded.select(*key, F.col(f"`{col}`").cast("bigint").alias("position"), (F.col(f"`{col}`") >= 0).cast("double").alias("value"))
+
+
 def scale_stats(df: DataFrame, cols: Sequence[str], method: str) -> dict[str, tuple[float, float]]:
     """(offset, width) per column; width 0 means constant."""
     if not cols or method == "none":
@@ -221,6 +235,13 @@ class Preprocessor:
                 out.append(c)
         return out
 
+    def positions(self) -> list[str]:
+        """Name of every position of the feature vector, large one-hot blocks included."""
+        out = list(self.numeric)
+        for c in self.categorical:
+            out += [f"{c}_{v}" for v in self.codes[c].ordered()] if self.spec.categorical_encoding == "onehot" else [c]
+        return out
+
     def _encode(self, df: DataFrame) -> DataFrame:
         filled = impute(df, self.fills)
         if not self.categorical:

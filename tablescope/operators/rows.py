@@ -97,7 +97,7 @@ def attach_result(source: DataFrame, result: DataFrame, defaults: dict[str, obje
 
 def require_min_rows(df: DataFrame, n: int, what: str) -> None:
     if df.limit(n).count() < n:
-        raise ValueError(f"{what} requires at least {n} usable rows after preprocessing")
+        raise ValueError(f"{what}: fewer than {n} rows are left once unusable ones are removed")
 
 
 def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -47,6 +47,17 @@ DECISIONS = {
     "other": ("Feature signal needs improvement before workflow execution.", "adjust_features", "feature_quality"),
 }
 
+REASONS = {
+    "no_target": "Label column is missing or target kind is not inferable.",
+    "all_failed": "All candidate models failed to train or evaluate for this target.",
+    "gain": "Best model improves baseline by %.4f.",
+    "no_gain": "Baseline improvement could not be computed.",
+    "rmse_gain": "Best model reduces baseline RMSE by %.1f%%.",
+    "no_rmse_gain": "Baseline RMSE improvement could not be computed.",
+    "gap": "Train/test gap is large (%.4f).",
+    "imbalance": "Class imbalance may limit stability on minority classes.",
+}
+
 ITEM = "struct<algorithm:string,status:string,primary_metric:double,train_metric:double,gap:double,test_r2:double,failure_reason:string>"
 FACTS = (
     "target_column string, target_kind string, baseline double, target_warnings array<string>, row_count bigint, "
@@ -125,15 +136,15 @@ def evaluate(facts: DataFrame) -> DataFrame:
     doubt = F.when(F.col("_overfit"), F.when(cls, 0.15).otherwise(0.12)).otherwise(0.0) + F.when(cls & _has(risks, "class_imbalance"), 0.08).otherwise(0.0)
     confidence = F.when(~known, F.lit(0.2)).when(~F.col("_any"), F.lit(0.25)).otherwise(F.least(F.greatest(F.lit(0.35) + bonus - doubt, F.lit(0.0)), F.lit(1.0)))
     reasons = F.array_distinct(F.array_compact(F.array(
-        F.when(~known, F.lit("Label column is missing or target kind is not inferable.")),
-        F.when(known & ~F.col("_any"), F.lit("All candidate models failed to train or evaluate for this target.")),
+        F.when(~known, F.lit(REASONS["no_target"])),
+        F.when(known & ~F.col("_any"), F.lit(REASONS["all_failed"])),
         F.when(F.col("_any"), F.concat(F.lit("Best "), kind, F.lit(" model: "), best["algorithm"], F.lit("."))),
         F.when(F.col("_any") & cls, F.coalesce(
-            F.when(g.isNotNull(), F.format_string("Best model improves baseline by %.4f.", g)), F.lit("Baseline improvement could not be computed."))),
+            F.when(g.isNotNull(), F.format_string(REASONS["gain"], g)), F.lit(REASONS["no_gain"]))),
         F.when(F.col("_any") & ~cls, F.coalesce(
-            F.when(g.isNotNull(), F.format_string("Best model reduces baseline RMSE by %.1f%%.", g * 100)), F.lit("Baseline RMSE improvement could not be computed."))),
-        F.when(F.col("_overfit"), F.format_string("Train/test gap is large (%.4f).", gap)),
-        F.when(F.col("_any") & cls & _has(risks, "class_imbalance"), F.lit("Class imbalance may limit stability on minority classes.")),
+            F.when(g.isNotNull(), F.format_string(REASONS["rmse_gain"], g * 100)), F.lit(REASONS["no_rmse_gain"]))),
+        F.when(F.col("_overfit"), F.format_string(REASONS["gap"], gap)),
+        F.when(F.col("_any") & cls & _has(risks, "class_imbalance"), F.lit(REASONS["imbalance"])),
     )))
     df = df.withColumns({"overall_verdict": verdict, "confidence": confidence, "reasons": reasons, "best_algorithm": best["algorithm"]})
     # written once: a filter pushed through the rules would copy them over and over

@@ -50,7 +50,7 @@ def boundary_snapshot(
         points = materialize(B.cluster_points(projected, result))
         ax = B.axes(points, "x", "y", resolution)
         grid = B.cluster_grid(points, ax)
-        labels = sorted(r[0] for r in points.select("cluster_id").distinct().limit(10_000).collect())
+        labels = sorted(r[0] for r in points.select("cluster_id").distinct().collect())  # one per cluster
     else:
         target = F.coalesce(present(rows, label), F.lit("unknown"))
         ready = materialize(vectors.withColumn("_target", target))

@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return _checked(spark, folder)
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
@@ -45,6 +45,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _checked(spark: SparkSession, folder: str) -> str:
+    """``folder``, unless it silently means each machine's own disk on a cluster.
+
+    Without a scheme the default file system decides; if that is the local one on a cluster,
+    only an explicit ``file:`` (a shared mount) is taken.
+    """
+    if spark.sparkContext.master.startswith("local") or ":/" in folder:
+        return folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        raise ValueError(f"spark.checkpoint.dir={folder} is local to each machine; name a shared folder with its scheme")
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

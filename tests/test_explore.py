@@ -49,9 +49,9 @@ def test_boundary_snapshot(spark):
     assert out.points.count() == 10 and out.grid.count() == 100 and out.class_labels == ["A", "B"]
     facts = {r["statistic"]: r["value"] for r in out.statistics.collect()}
     assert facts["grid_point_count"] == 100 and 0 < facts["explained_variance_ratio_1"] <= 1
-    with pytest.raises(ValueError, match="two feature columns"):
+    with pytest.raises(ValueError, match="two axes"):
         boundary_snapshot(df, Roles(("f1",), "target"), order_by=["id"])
-    with pytest.raises(ValueError, match="classification jobs"):
+    with pytest.raises(ValueError, match="numeric"):
         boundary_snapshot(df, Roles(("f1", "f2"), "f1"), order_by=["id"])
 
 

@@ -137,3 +137,19 @@ def test_comparisons(spark, a, b):
     x, y = (a if isinstance(a, int) else 0), b
     got = one(spark, lt=N.less(L(a), L(b)), gt=N.greater(L(a), L(b)), ge=N.greater_equal(L(a), L(b)), eq=N.equal(L(a), L(b)), ne=N.not_equal(L(a), L(b)))
     assert got == {"lt": x < y, "gt": x > y, "ge": x >= y, "eq": x == y, "ne": x != y}
+
+
+def test_number_text_has_plain_digits(spark):
+    from tablescope.functions.dates import text_
+    from tablescope.functions.numeric import round_
+    from tablescope.functions.values import canon_str
+    from tablescope.operators.lineage import column_label
+
+    want = {12345678.9: "12345678.9", 0.0001: "0.0001", 2e15: "2000000000000000", -1.5e-7: "-1.5e-7", 1e21: "1e+21", 1.25e20: "125000000000000000000",
+            -0.00012: "-0.00012", 1e-7: "1e-7", 0.000001: "0.000001", 5.0: "5", 0.5: "0.5", -12345678.25: "-12345678.25", 123456789012345680.0: "123456789012345680"}
+    rows = spark.createDataFrame([(x,) for x in want], "x double")
+    assert {r.x: r.s for r in rows.select("x", canon_str(F.col("x")).alias("s")).collect()} == want
+    big = spark.createDataFrame([(1e16,)], "x double").select(text_(F.col("x"), "0"), text_(F.col("x"), "0.00"), round_(F.lit(1.0000000000005), 12)).first()
+    assert tuple(big) == ("10000000000000000", "10000000000000000.00", 1.000000000001)
+    labels = spark.createDataFrame([(0,), (25,), (26,), (701,), (702,), (18277,), (18278,), (475253,), (475254,)], "i int").select(column_label(F.col("i"))).collect()
+    assert [r[0] for r in labels] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "ZZZZ", "AAAAA"]

@@ -101,3 +101,15 @@ def test_components(spark):
     nodes = spark.createDataFrame([(str(i).zfill(3),) for i in range(1, 61)], "node string")
     got = {int(r.node): int(r.component) for r in connected_components(nodes, e).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and got[53] == 50 and got[60] == 60
+
+
+def test_regions_split_on_flags():
+    import numpy as np
+
+    from tablescope.operators.neighbors import _regions, _split_tree
+
+    rng = np.random.default_rng(1)
+    for extra in (1, 3):
+        x = np.column_stack([(rng.random(20_000) < 0.6).astype(float), *[rng.random(20_000) for _ in range(extra)]])
+        held = np.bincount(_regions(_split_tree(x[:4000], 6), 6, x), minlength=64)
+        assert held.max() <= 2 * 20_000 / 64

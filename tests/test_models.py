@@ -51,9 +51,9 @@ def test_regression(table, algorithm):
 
 
 def test_regression_guard_and_messages(table):
-    with pytest.raises(ValueError, match="numeric label_column"):
+    with pytest.raises(ValueError, match="numeric in every row"):
         W.fit_supervised(table, ROLES, task="regression", order_by=["id"])
-    with pytest.raises(ValueError, match="valid label_column"):
+    with pytest.raises(ValueError, match="not a column"):
         W.fit_supervised(table, Roles(("a",), "nope"), order_by=["id"])
 
 
@@ -77,7 +77,7 @@ def test_large_onehot_and_class_weight(table):
 def test_importance(table):
     out = W.fit_supervised(table, Roles(("a", "b"), "y", "id"), PrepSpec(), "logistic_regression", "classification", ["id"])
     ready, pre, _ = W.split_and_fit_preprocessor(table, Roles(("a", "b"), "y", "id"), PrepSpec(), "classification", ["id"], {})
-    got = {r["feature"]: r["score"] for r in K.feature_importance(out.model, ready, pre.columns(), ["_row_id"], repeats=2).collect()}
+    got = {r["feature"]: r["score"] for r in K.feature_importance(out.model, ready, pre.positions(), ["_row_id"], repeats=2).collect()}
     assert got["a"] > got["b"] >= 0
 
 
@@ -96,7 +96,7 @@ def test_prepare_edge_cases(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, None, "k"), (3, None, "k")], "id long, f double, y string")
     rows = W.prepare(df, Roles(("f",), "y"), PrepSpec(), order_by=["id"]).rows.toPandas()
     assert (rows["f"] == 0).all() and (rows["_predicted_class"] == "k").all() and (rows["_prediction_confidence"] == 1.0).all()
-    with pytest.raises(ValueError, match="At least one feature"):
+    with pytest.raises(ValueError, match="nothing to prepare"):
         W.prepare(df, Roles(("none",), "y"), order_by=["id"])
 
 
@@ -140,3 +140,37 @@ def test_recommendation_small(spark):
     got = {(r["user"], r["_rank"]): r["recommended_item_id"] for r in out.rows.collect()}
     assert got == {("u1", 1): "i3", ("u2", 1): "i2", ("u2", 2): "i3", ("u3", 1): "i1", ("u3", 2): "i2"}
     assert values(out.metrics) == {"user_count": 3, "item_count": 3, "recommendation_count": 5, "coverage": 1.0, "top_k": 2}
+
+
+@pytest.mark.parametrize("categories", [60, 70])
+def test_importance_names_every_position(spark, categories):
+    rows = spark.range(categories * 12).select(
+        "id", (F.pmod(F.xxhash64("id"), F.lit(7)) * 1.0).alias("noise0"), F.concat(F.lit("k"), (F.col("id") % categories).cast("string")).alias("cat"),
+        F.when(F.col("id") % categories == 3, "hi").otherwise("lo").alias("y"))
+    spec = PrepSpec(categorical_encoding="onehot")
+    out = W.fit_supervised(rows, Roles(("noise0", "cat"), "y", "id"), spec, "random_forest", "classification", ["id"])
+    ready, pre, _ = W.split_and_fit_preprocessor(rows, Roles(("noise0", "cat"), "y", "id"), spec, "classification", ["id"], {})
+    got = K.feature_importance(out.model, ready, pre.positions(), ["_row_id"]).collect()
+    assert len(got) == categories + 1 and got[0]["feature"] == "cat_k3" and got[0]["score"] > 0.2
+    from tablescope.operators.prepare import onehot, onehot_rows
+
+    assert len(onehot(rows, ["cat"]).columns) == 3 + categories
+    assert onehot_rows(rows, ["id"], "cat").agg(F.sum("value")).first()[0] == categories * 12
+
+
+@pytest.mark.parametrize("labels", [30, 1100])
+def test_confusion_matrix_has_one_contract(spark, labels):
+    from tablescope.operators.metrics import confusion_matrix
+
+    scored = spark.range(labels).select(F.col("id").cast("string").alias("t"), F.lit("0").alias("p"))
+    assert confusion_matrix(scored, "t", "p").agg(F.count("*"), F.sum("n")).first() == (labels * labels, labels)
+    assert confusion_matrix(scored, "t", "p", dense=False).count() == labels
+
+
+def test_silhouette_with_many_clusters(spark, monkeypatch):
+    from tablescope.operators import metrics
+
+    rows = spark.range(3000).select((F.col("id") % 100 * 10 + F.rand(3)).alias("x"), (F.col("id") % 100).alias("c"))
+    whole = metrics.silhouette_squared(rows, ["x"], "c").first()[0]
+    monkeypatch.setattr(metrics, "_CLUSTER_BLOCK", 30)
+    assert abs(metrics.silhouette_squared(rows, ["x"], "c").first()[0] - whole) < 1e-9
