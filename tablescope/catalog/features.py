@@ -194,6 +194,14 @@ QUERIES = {
     "label_encode": (_label_encode, _LABEL_SQL),
     "label_encode_wide": (_label_wide, _LABEL_WIDE_SQL),
     "onehot": (_onehot, _ONEHOT_SQL),
+    "onehot_wide": (
+        lambda s, d: P.onehot_rows(read(s, d, "customer"), ["c_custkey"], "c_name"),
+        "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS position, 1.0::DOUBLE AS value FROM customer",
+    ),
+    "drop_null_label": (
+        lambda s, d: P.workflow_rows(_lines(s, d), ["qty"], "flag", PrepSpec()).select(*KEY, "flag"),
+        f"SELECT {KEY_SQL}, flag FROM {_LINES} WHERE flag IS NOT NULL",
+    ),
     "preprocessor_unseen": (_unseen, _UNSEEN_SQL),
     "prepared_matrix": (_prepared_matrix, _PREPARED_SQL),
 }

@@ -245,6 +245,13 @@ def _kernel(s, d):
 
 
 QUERIES = {
+    "eps_join": (
+        lambda s, d: N.eps_join(read(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_nationkey") / 4).alias("y")), ["x", "y"], 0.6, "s_suppkey").select(
+            "left", "right", F.round("distance", 6).alias("distance")),
+        """WITH p AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS x, s_nationkey / 4.0::DOUBLE AS y FROM supplier)
+           SELECT a.k AS "left", b.k AS "right", round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM p a JOIN p b ON a.k < b.k
+           WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.6""",
+    ),
     "eps_core": (_core, _CORE_SQL),
     "dbscan": (_dbscan, _dbscan_sql(_SUPPLIERS, 0.6, 3)),
     "dbscan_customers": (_dbscan_customers, _dbscan_sql(_CUSTOMERS, 0.25, 10)),

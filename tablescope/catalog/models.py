@@ -201,11 +201,17 @@ _CLUSTER_STATS = "UNION ALL SELECT 'cluster_count', count(DISTINCT cluster_id) F
 
 
 def _prepare_stats(s, d):
-    """Counts of a prepared table with given flags."""
-    return _stored(s, d).agg(
-        F.count(L(1)).alias("row_count"), F.count_if("_is_island").alias("island_count"), F.count_if("_is_outlier").alias("outlier_count"),
-        F.count_distinct(F.when(C("_is_island"), C("_cluster_id"))).alias("nano_explanations"),
-    )
+    """Counts of all customers with given flags."""
+    k = C("c_custkey")
+    flagged = read(s, d, "customer").select(
+        (k % 8 == 1).alias("_is_island"), (k % 6 == 0).alias("_is_outlier"), F.concat(L("cluster_"), (k % 31).cast("string")).alias("_cluster_id"),
+        F.when(k % 8 == 1, L("review")).otherwise(L("")).alias("_nano_decision"))
+    return W.prepare_stats(flagged, 4)
+
+
+_PREPARE_STATS_SQL = """
+    SELECT count(*) AS row_count, 4::BIGINT AS feature_count, count(*) FILTER (c_custkey % 8 = 1) AS island_count, count(*) FILTER (c_custkey % 6 = 0) AS outlier_count,
+           count(DISTINCT c_custkey % 31) FILTER (c_custkey % 8 = 1) AS nano_explanations FROM customer"""
 
 
 def _anomaly_flow(s, d, algorithm):
@@ -264,9 +270,5 @@ QUERIES = {
     "cluster_grid": (_cluster_grid, _GRID_SQL),
     "boundary_stats": (lambda s, d: _stats(s, d, "classification"), _stats_sql(_POINTS_SQL, 0.6)),
     "cluster_stats": (lambda s, d: _stats(s, d, "clustering"), _stats_sql(_CLUSTER_POINTS_SQL, 0.4, _CLUSTER_STATS)),
-    "prepare_stats": (
-        _prepare_stats,
-        "SELECT count(*) AS row_count, count(*) FILTER (c_custkey % 8 = 1) AS island_count, count(*) FILTER (c_custkey % 6 = 0) AS outlier_count, "
-        "count(DISTINCT CASE WHEN c_custkey % 9 = 0 THEN '' ELSE CAST(c_custkey % 3 AS VARCHAR) END) FILTER (c_custkey % 8 = 1) AS nano_explanations FROM customer WHERE c_custkey % 4 <> 0",
-    ),
+    "prepare_stats": (_prepare_stats, _PREPARE_STATS_SQL),
 }

@@ -281,6 +281,11 @@ QUERIES = {
     ),
     "index_at": (_index, _INDEX_SQL),
     "predict_lookup": (_predict_lookup, _PREDICT_SQL),
+    "number_text": (
+        lambda s, d: read(s, d, "orders").select("o_orderkey", canon_str(F.col("o_totalprice") * 64).alias("large"), canon_str(F.lit(2e15) + F.col("o_orderkey") * 8).alias("huge")),
+        """SELECT o_orderkey, CASE WHEN floor(o_totalprice * 64) = o_totalprice * 64 THEN (o_totalprice * 64)::BIGINT::VARCHAR ELSE (o_totalprice * 64)::VARCHAR END AS large,
+           (2000000000000000 + o_orderkey * 8)::BIGINT::VARCHAR AS huge FROM orders""",
+    ),
     "canon_str": (
         lambda s, d: read(s, d, "lineitem").select(*LINE_KEY, canon_str(F.col("l_quantity")).alias("text")),
         f"SELECT {_LINE_KEY_SQL}, CAST(l_quantity::BIGINT AS VARCHAR) AS text FROM lineitem",

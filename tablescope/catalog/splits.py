@@ -191,6 +191,10 @@ QUERIES = {
     ),
     "class_metrics": (_class_metrics, _CLASS_METRICS_SQL),
     "confusion_matrix": (_confusion, _CONFUSION_SQL),
+    "confusion_matrix_wide": (
+        lambda s, d: M.confusion_matrix(read(s, d, "lineitem").select("l_partkey", (F.col("l_partkey") % 500).alias("guess")), "l_partkey", "guess", dense=False),
+        "SELECT l_partkey::VARCHAR AS truth, (l_partkey % 500)::VARCHAR AS prediction, count(*) AS n FROM lineitem GROUP BY ALL",
+    ),
     "classification_columns": (_classification_columns, _CLASS_COLUMNS_SQL),
     "regression_metrics": (_regression_metrics, _REGRESSION_METRICS_SQL),
     "error_flag": (_error_flag, _ERROR_FLAG_SQL),

@@ -100,9 +100,11 @@ def formula_dependencies(cells: DataFrame) -> DataFrame:
     known = parsed.join(widths, "_sheet").filter(F.least("c1", "c2") <= F.col("_last"))
     rows = F.sequence(F.least("r1", "r2"), F.greatest("r1", "r2"))
     cols = F.sequence(F.least("c1", "c2"), F.least(F.greatest("c1", "c2"), F.col("_last")))
-    # a single cell keeps its text; a range becomes one address per row and column
-    box = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: to_address(r, c))))
-    spread = known.select("cell", "_sheet", F.explode(F.when(F.col("_wide"), box).otherwise(F.array("_ref"))).alias("at"))
+    # a single cell keeps its text; a range becomes rows first, then the columns of each row
+    by_row = known.select("cell", "_sheet", "_ref", "_wide", cols.alias("_cols"), F.explode(F.when(F.col("_wide"), rows).otherwise(F.array("r1"))).alias("_r"))
+    by_cell = by_row.select("cell", "_sheet", "_ref", "_wide", "_r", F.explode(F.when(F.col("_wide"), F.col("_cols")).otherwise(F.slice("_cols", 1, 1))).alias("_c"))
+    at = F.when(F.col("_wide"), to_address(F.col("_r"), F.col("_c"))).otherwise(F.col("_ref"))
+    spread = by_cell.select("cell", "_sheet", at.alias("at"))
     return spread.select("cell", cell_key(F.col("_sheet"), F.col("at")).alias("depends_on")).distinct()
 
 
