@@ -123,6 +123,41 @@ def test_url_model_is_a_distribution_and_separates(spark):
     assert sum(x < limit for x in np.linspace(-1, 1, 101)) <= 5.05 and limit > -1
 
 
+def test_url_counts_are_by_gram_over_all_rules(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_."
+    urls = [f"http://{'good' if i % 2 else 'bad'}.org/" + "".join(rng.choices(letters, k=80)) for i in range(4000)]
+    other = ["http://else.net/" + "".join(rng.choices(letters, k=80)) for _ in range(20)]
+    rules = [url_model.Rule("good.org", "/", True), url_model.Rule("bad.org", "/", False)]
+    pages = spark.createDataFrame(list(enumerate(urls + other)), "page_id long, url string")
+    got = {r.page_id: r.score for r in url_model.filter_urls(pages, rules).collect()}
+    counts = [{}, {}]
+    for u in urls:
+        s = "^" * 4 + u[7:] + "$"
+        for i in range(4, len(s)):
+            for k in range(5):
+                for key in (s[i - k:i + 1], (s[i - k:i],)):
+                    own = counts["good" in u[:12]]
+                    own[key] = own.get(key, 0) + 1
+    assert len(counts[0]) > 1 << 17
+    for i, u in enumerate(other, len(urls)):
+        s, total = "^" * 4 + u[7:] + "$", 0.0
+        for at in range(4, len(s)):
+            p = [1 / 97, 1 / 97]
+            for k in range(5):
+                p = [(c.get(s[at - k:at + 1], 0) + 2 * x) / (c.get((s[at - k:at],), 0) + 2) for c, x in zip(counts, p)]
+            total += np.log(p[1]) - np.log(p[0])
+        assert abs(got[i] - total / (len(s) - 4)) < 1e-9
+
+
+def test_url_values_in_parts_give_the_same_scores(spark):
+    grams = [int(g) for t in ("good.org/a", "bad.org/b") for g in set(url_model._grams(t))]
+    values = spark.createDataFrame([(g, float(g % 7)) for g in set(grams)], "gram long, x double")
+    texts = spark.createDataFrame([("good.org/a",), ("bad.org/b",), ("",)], "_text string")
+    one, many = ({r._text: r.score for r in url_model.score_texts(texts, values, "x", n).collect()} for n in (1000, 3))
+    assert all(abs(one[t] - many[t]) < 1e-9 for t in one) and one["good.org/a"] > 0
+
+
 def test_bucket_bounds_are_optimal():
     rng = random.Random(2)
     for _ in range(25):
