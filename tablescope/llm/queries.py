@@ -159,7 +159,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").filter(crc_mod4(F.col("doc_id")) != 2).select("doc_id", "toxic")
-    model = train(docs.join(F.broadcast(draw_labels(labels)), "doc_id").select("text", "toxic"))
+    model = train(docs.join(F.broadcast(draw_labels(labels)), "doc_id").select("text", "toxic"), texts=docs.select("text"))
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

@@ -40,6 +40,16 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*])(?:[ ._\-*]{1,2}(?:[^\W
 _EDGES = ".,;:?\"'()[]{}<>«»„“”…"
 
 
+def trigrams(words: dict[str, int]) -> Counter:
+    """Counts of letter trigrams of counted words, two marks before and one after."""
+    out: Counter = Counter()
+    for w, c in words.items():
+        s = f"^^{w}$"
+        for i in range(2, len(s)):
+            out[s[i - 2:i + 1]] += c
+    return out
+
+
 @dataclass
 class CharModel:
     """Trigram model of letters within a word, interpolated with bigrams and unigrams."""
@@ -50,18 +60,18 @@ class CharModel:
 
     @classmethod
     def build(cls, words: dict[str, int]) -> CharModel:
-        tri, bi, uni = Counter(), Counter(), Counter()
-        for w, c in words.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                tri[s[i - 2:i + 1]] += c
-                bi[s[i - 1:i + 1]] += c
-                uni[s[i]] += c
-        ctx2, ctx1, total = Counter(), Counter(), sum(uni.values()) or 1
+        return cls.from_counts(trigrams(words))
+
+    @classmethod
+    def from_counts(cls, tri: dict[str, int]) -> CharModel:
+        """From counts of trigrams; each names its bigram and letter by its end."""
+        bi, uni, ctx2, ctx1 = Counter(), Counter(), Counter(), Counter()
         for g, c in tri.items():
+            bi[g[1:]] += c
+            uni[g[2]] += c
             ctx2[g[:2]] += c
-        for g, c in bi.items():
-            ctx1[g[0]] += c
+            ctx1[g[1]] += c
+        total = sum(uni.values()) or 1
         return cls({g: c / ctx2[g[:2]] for g, c in tri.items()}, {g: c / ctx1[g[0]] for g, c in bi.items()},
                    {g: c / total for g, c in uni.items()})
 
@@ -195,12 +205,21 @@ class Model:
         return float(1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * self.strength(text) + self.offset)))))
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         c: Counter = Counter()
         for t in b["text"]:
             c.update(_PLAIN.findall(t.lower()))
-        yield pd.DataFrame(list(c.items()), columns=["word", "n"])
+        yield pd.DataFrame(list(trigrams(c).items()), columns=["gram", "n"])
+
+
+def count_letters(texts: DataFrame) -> CharModel:
+    """Character model over every row of (text), copies and words met once included.
+
+    The table has a row for each trigram that occurs, so its counts grow with the input
+    while it stays small."""
+    rows = texts.select("text").filter("text IS NOT NULL").mapInPandas(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    return CharModel.from_counts(dict(zip(rows["gram"], rows["n"])))
 
 
 def _features(shipped: Broadcast) -> Callable:
@@ -259,12 +278,13 @@ def draw_labels(labels: DataFrame, key: str = "doc_id", label: str = "toxic", pe
     return given.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30))
 
 
-def train(labelled: DataFrame, per_class: int = 4000, least_texts: int = 5) -> Model:
+def train(labelled: DataFrame, per_class: int = 4000, least_texts: int = 5, texts: DataFrame | None = None) -> Model:
     """Model from (text, toxic) rows with both given.
 
-    Fitted on a bounded sample: about ``per_class`` distinct texts of each class, drawn by a
-    hash of the text; a text with both labels counts in both. The character model counts
-    the words of the sample as written; weights are smoothed log odds of features in at
+    The character model counts the words of all ``texts`` (of the labelled rows if not
+    given) as written. Weights are fitted on a bounded sample: about ``per_class`` distinct
+    texts of each class, drawn by a hash of the text; a text with both labels counts in
+    both. They are smoothed log odds of features in at
     least ``least_texts`` texts. One half of the sample (by hash) gives the weights, the
     other the calibration; weights are then counted again over both. Without both classes
     every score is the share of toxic rows (0.5 without rows).
@@ -277,8 +297,7 @@ def train(labelled: DataFrame, per_class: int = 4000, least_texts: int = 5) -> M
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / n1))).otherwise(F.lit(min(1.0, per_class / n0)))
     sample = materialize(given.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).distinct().repartition(32))
     sc = labelled.sparkSession.sparkContext
-    words = sample.select("text").distinct().mapInPandas(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
-    chars = CharModel.build(dict(zip(words["word"], words["n"])))
+    chars = count_letters(given if texts is None else texts)
     half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2))
     counted = materialize(sample.withColumn("half", half))
     shipped = sc.broadcast(chars)

@@ -73,6 +73,16 @@ def test_toxicity_scores_restored_text(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_counts_letters_over_all_texts(spark):
+    labelled = spark.createDataFrame([("hello people", 0), ("stupid people", 1)], "text string, toxic int")
+    texts = [f"word{'' if i % 3 else ' zebra'}" for i in range(900)] + ["quixotic", None]
+    all_texts = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    model = toxicity.train(labelled, per_class=1, texts=all_texts).chars
+    assert model == toxicity.CharModel.build({"word": 900, "zebra": 300, "quixotic": 1})
+    own = toxicity.train(labelled).chars
+    assert own == toxicity.CharModel.build({"hello": 1, "people": 2, "stupid": 1})
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
