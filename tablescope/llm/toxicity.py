@@ -24,6 +24,9 @@ LEET = {
 
 #: Log probability of one disguised character, of a dropped repeat and of a dropped separator.
 DISGUISED, REPEATED, SEPARATED = math.log(0.05), math.log(0.1), math.log(0.3)
+#: Log probabilities of a separator that stands for nothing and of one that ends a word, in runs
+#: of single letters and between pieces of several letters.
+SPACED, PIECES = (SEPARATED, math.log(0.1)), (math.log(0.1), math.log(0.9))
 #: States kept per step of the decoder.
 BEAM = 64
 #: Prefix lengths of the features besides whole words.
@@ -79,11 +82,12 @@ class CharModel:
         return math.log(0.7 * self.tri.get(two + nxt, 0.0) + 0.2 * self.bi.get(two[1] + nxt, 0.0) + 0.0999 * self.uni.get(nxt, 0.0) + 1e-6)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str, gaps: tuple[float, float] | None = None) -> list[list[tuple[str, float]]]:
     """Per character of ``token``: what it may stand for (a letter, or nothing) and the cost.
 
     A letter stands for itself; a third or later repeat may also be dropped, a second one
-    at a cost too; a digit or mark stands for its letters; separators stand for nothing.
+    at a cost too; a digit or mark stands for its letters; separators stand for nothing, or
+    with ``gaps`` (costs of nothing and of a word's end) also for a space.
     Characters without any reading keep themselves.
     """
     out = []
@@ -99,8 +103,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 ways.append(("", REPEATED))
             if c in "*!|+(":
                 ways.append(("", SEPARATED))
+            if c == "*" and gaps:
+                ways.append((" ", gaps[1]))
         elif c in " ._-":
-            ways = [("", SEPARATED)]
+            ways = [("", gaps[0]), (" ", gaps[1])] if gaps else [("", SEPARATED)]
         else:
             ways = [(c, 0.0)]
         out.append(ways)
@@ -108,23 +114,34 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(model: CharModel, token: str) -> str:
-    """The likeliest letters behind ``token``: Viterbi with the last two letters as state."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for ways in lattice(token):
-        step: dict[str, tuple[float, str]] = {}
+def decode(model: CharModel, token: str, gaps: tuple[float, float] | None = None) -> str:
+    """The likeliest letters behind ``token``: Viterbi with the last two letters as state.
+
+    With ``gaps`` the letters come in words: a space ends one (``$``) and the next begins
+    anew (``^``), so the model decides where words end.
+    """
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    for ways in lattice(token, gaps):
+        step: dict[str, tuple[float, tuple | None]] = {}
         for two, (cost, text) in states.items():
             for letter, noise in ways:
-                if letter:
+                if letter == " ":
+                    key, value = "^^", cost + noise + (0.0 if two == "^^" else model.log(two, "$"))
+                elif letter:
                     key, value = two[1] + letter, cost + noise + model.log(two, letter)
                 else:
                     key, value = two, cost + noise
                 if key not in step or value > step[key][0]:
-                    step[key] = (value, text + letter)
+                    step[key] = (value, (text, letter) if letter else text)
         if len(step) > BEAM:
             step = dict(sorted(step.items(), key=lambda x: -x[1][0])[:BEAM])
         states = step
-    return max(states.items(), key=lambda x: x[1][0] + model.log(x[0], "$"))[1][1]
+    text = max(states.items(), key=lambda x: x[1][0] + (0.0 if gaps and x[0] == "^^" else model.log(x[0], "$")))[1][1]
+    out = []
+    while text:
+        text, letter = text
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def disguised(token: str) -> bool:
@@ -133,24 +150,25 @@ def disguised(token: str) -> bool:
     if inner.isalpha():
         return any(inner[i] == inner[i + 1] == inner[i + 2] for i in range(len(inner) - 2))
     letters = sum(c.isalpha() for c in inner)
-    return letters >= 1 and len(inner) <= 60 and all(c.isalpha() or c in LEET or c in "._-" for c in inner) and (
+    return letters >= 1 and all(c.isalpha() or c in LEET or c in "._-" for c in inner) and (
         letters + sum(c in LEET for c in inner) >= 3)
 
 
 def restored(model: CharModel, text: str | None, memory: dict[str, tuple[str, ...]]) -> Counter:
     """Words of the text after decoding, with counts. The words as written are kept besides.
 
-    Runs of single letters are joined first and decoded as one token, so each word of a
-    whole text is looked at.
+    Runs of single letters are decoded as a whole into words, and besides as one word, so
+    each word of a whole text is looked at.
     """
     if not text:
         return Counter()
     low = text.lower()
     out: Counter = Counter()
     for m in _SPACED.finditer(low):
-        word = decode(model, m.group())
-        if len(word) >= 3:
-            out[word] += 1
+        words = decode(model, m.group(), SPACED).split()
+        for word in {*words, *([decode(model, m.group())] if len(words) > 1 else [])}:
+            if len(word) >= 3:
+                out[word] += 1
     for token, n in Counter(low.split()).items():
         got = memory.get(token)
         if got is None:
@@ -183,14 +201,69 @@ class Model:
     base: float
     memory: dict = field(default_factory=dict)
     known: dict = field(default_factory=dict)
+    joins: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        whole = {f.rstrip("~") for f in self.weights}
+        #: Beginnings of what has a weight: where a word in pieces may go on.
+        self.begins = {w[:n] for w in whole for n in range(1, len(w) + 1)}
+
+    def weight(self, word: str) -> float:
+        return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+
+    def joined(self, text: str | None) -> Counter:
+        """Words with a weight that were written in pieces ('stu pid', 'id i0t').
+
+        Neighbouring tokens are put together for as long as they begin something with a
+        weight. What then weighs more than any of its pieces is decoded as one lattice in
+        which each gap is nothing or the end of a word; it counts if the word comes out whole.
+        """
+        out: Counter = Counter()
+        tokens = text.lower().split() if text else []
+        for i in range(len(tokens) - 1):
+            first = tokens[i].lstrip(_EDGES)
+            if first not in self.begins and (first.isalpha() or not any(x in self.begins for x in LEET.get(first[:1], first[:1])) or not any(
+                    c.isalpha() for c in first)):
+                continue
+            run, j, found = first, i + 1, ""
+            while j < len(tokens):
+                piece = tokens[j].strip(_EDGES)
+                raw = run.replace(" ", "")
+                if not piece or raw.isalpha() and not any(raw + x in self.begins for x in LEET.get(piece[0], piece[0])):
+                    break
+                run += " " + piece
+                word, more = self._join(run)
+                found = word or found
+                if not more:
+                    break
+                j += 1
+            if found:
+                out[found] += 1
+        return out
+
+    def _join(self, run: str) -> tuple[str, bool]:
+        """The word of a weight that the pieces of ``run`` are, or nothing; and whether it may go on."""
+        got = self.joins.get(run)
+        if got is None:
+            pieces = run.split(" ")
+            raw = "".join(pieces)
+            plain = raw.isalpha()
+            word = raw if plain else decode(self.chars, raw) if disguised(raw) else ""
+            alone = max(self.weight(p if p.isalpha() else decode(self.chars, p)) for p in pieces) if word else 0.0
+            whole = bool(word) and self.weight(word) > alone and word in decode(self.chars, run, PIECES).split()
+            got = (word if whole else "", word in self.begins)
+            if len(self.joins) >= REMEMBERED:
+                self.joins.clear()
+            self.joins[run] = got
+        return got
 
     def strength(self, text: str | None) -> float:
         """Weight of the strongest word and a share of the next; a word weighs as much as its strongest feature."""
         best = []
-        for w in restored(self.chars, text, self.memory):
+        for w in restored(self.chars, text, self.memory) | self.joined(text):
             x = self.known.get(w)
             if x is None:
-                x = max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
+                x = self.weight(w)
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[w] = x

@@ -73,6 +73,20 @@ def test_toxicity_scores_restored_text(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_in_spaced_letters_pieces_and_long_tokens():
+    words = {**WORDS, "you": 400, "are": 300, "a": 400}
+    few = toxicity.CharModel.build(words)
+    words |= {"as": 200, "sign": 50}
+    model = toxicity.Model(toxicity.CharModel.build(words), {"idiot": 4.0, "stupid": 4.0, "stupi~": 3.0, "assig~": 1.0}, 2.0, -3.0, 0.5)
+    assert toxicity.decode(few, "a s t u p i d", toxicity.SPACED) == "a stupid"
+    assert toxicity.decode(few, "y o u i d i o t", toxicity.SPACED) == "you idiot"
+    for text in ("you are a s t u p i d", "y o u i d i o t", "a stu pid bottle", "you id iot!", "st up id", "id i0t", "1d 10t", "s" * 50 + "7" + "u" * 30 + "p1d",
+                 ".".join("s" * 40) + ".t.u.p.1.d"):
+        assert model.strength(text) >= 3.0, text
+    for text in ("hello people", "as sign", "you are a people", "the bottle", "x" * 5000 + "1"):
+        assert model.strength(text) == 0.0, text
+
+
 def test_toxicity_counts_letters_over_all_texts(spark):
     labelled = spark.createDataFrame([("hello people", 0), ("stupid people", 1)], "text string, toxic int")
     texts = [f"word{'' if i % 3 else ' zebra'}" for i in range(900)] + ["quixotic", None]
