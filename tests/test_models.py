@@ -174,3 +174,17 @@ def test_silhouette_with_many_clusters(spark, monkeypatch):
     whole = metrics.silhouette_squared(rows, ["x"], "c").first()[0]
     monkeypatch.setattr(metrics, "_CLUSTER_BLOCK", 30)
     assert abs(metrics.silhouette_squared(rows, ["x"], "c").first()[0] - whole) < 1e-9
+
+
+def test_predict_batch_fits_on_all_lines(spark, sf, monkeypatch):
+    from tablescope.catalog.models import QUERIES
+
+    fit, fitted = W.fit_supervised, []
+
+    def counted(df, *args, **params):
+        fitted.append(df.count())
+        return fit(df, *args, **params)
+
+    monkeypatch.setattr(W, "fit_supervised", counted)
+    scored = sum(r.n for r in QUERIES["predict_batch"][0](spark, sf).collect())
+    assert fitted == [scored] == [spark.read.parquet(f"{sf}/lineitem.parquet").count()]
