@@ -171,6 +171,55 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+_VECTORS_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE {label}embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS asked, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
+
+NEGATIVES_SQL = _VECTORS_SQL.format(label="label IS NOT NULL AND ") + """,
+p AS (SELECT asked, other AS positive_id, score AS positive_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, other) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.asked, positive_id, positive_score, other, score,
+    row_number() OVER (PARTITION BY p.asked, positive_id ORDER BY score DESC, other) AS r
+  FROM p JOIN s ON s.asked = p.asked AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT asked AS anchor_id, positive_id, r::INT AS rank, other AS negative_id, positive_score, score AS negative_score FROM n WHERE r <= 3
+"""
+
+TOP_SQL = _VECTORS_SQL.format(label="") + """
+SELECT asked AS query_id, r::INT AS rank, other AS vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, other) AS r FROM s) WHERE r <= 5
+"""
+
+
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.negatives import mine_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.threshold import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.merkle import digest, fold, manifest
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, digest(
+        [*map(F.col, fields[:-1]), F.replace("text", F.lit("\n"), F.lit(""))]))
+    done = manifest(read(spark, sf_dir, "documents"), fields, carry={"changed": changed})
+    siblings = F.flatten(F.transform("proof", lambda s: s["others"]))
+    folded = done.withColumn("folded_root", fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (language, None),
     "op2_toxicity": (toxicity, None),
@@ -182,4 +231,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_quality_rules": (quality, QUALITY_SQL),
     "op9_url_filters": (urls, None),
     "op10_secret_scans": (secrets, None),
+    "op11_hard_negatives": (negatives, NEGATIVES_SQL),
+    "op12_exact_top_k": (top_rows, TOP_SQL),
+    "op13_merkle_manifest": (merkle, None),
 }
