@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablescope.catalog import read
 from tablescope.operators import profile as P
+from tablescope.operators import signal as G
 from tablescope.operators import target as T
 
 _LINEITEM = {
@@ -152,7 +153,58 @@ _KIND_SQL = (
 )
 _KINDS = ["c_custkey", "c_acctbal", "c_mktsegment", "digits", "mixed"]
 
+def _signal_source(df):
+    """Line items with an identifier, a sparse, a constant and a text column of many values."""
+    return df.select(
+        "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_tax", "l_linenumber",
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("ident"),
+        F.when(F.col("l_linenumber") == 1, F.col("l_discount")).otherwise(F.lit(float("nan"))).alias("sparse"), F.lit("same").alias("constant"),
+        F.when(F.col("l_partkey") % 9 != 0, F.col("l_extendedprice") * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).alias("y"),
+    )
+
+
+_SIGNAL_SQL = """(SELECT l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_tax, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS day,
+    l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice AS ident, CASE WHEN l_linenumber = 1 THEN l_discount END AS sparse, 'same' AS constant,
+    CASE WHEN l_partkey % 9 <> 0 THEN l_extendedprice * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END END AS y FROM lineitem)"""
+_SIGNAL_NUMBERS = ["l_quantity", "l_extendedprice", "l_tax", "l_linenumber", "sparse"]
+_SIGNAL_TEXTS = ["l_linestatus", "day", "ident", "constant"]
+
+
+def _signal_sql(label, numbers, texts, regression, categories):
+    """Mutual information by its definition, from bins and the most frequent texts."""
+    def binned(c):
+        return f"CASE WHEN {c} IS NOT NULL THEN len(list_filter(list_distinct((SELECT quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FROM d)), lambda q: {c} > q))::VARCHAR END"
+
+    target = binned(label) if regression else label
+    parts = [f"SELECT '{c}' AS feature, {binned(c)} AS part, {target} AS class FROM d" for c in numbers]
+    for c in texts:
+        top = f"(SELECT {c} AS v FROM d WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {categories})"
+        parts.append(f"SELECT '{c}' AS feature, CASE WHEN {c} IS NULL THEN NULL WHEN t.v IS NULL THEN '~rest' ELSE 'v' || {c} END AS part, {target} AS class FROM d LEFT JOIN {top} t ON t.v = {c}")
+    flags = _profile_sql(_SIGNAL_SQL, [*numbers, *texts])
+    corr = " ".join(f"UNION ALL SELECT '{c}', 'correlation', corr({c}, {label}) FROM d" for c in numbers) if regression else ""
+    return f"""
+        WITH d AS (SELECT * FROM {_SIGNAL_SQL} WHERE {label} IS NOT NULL),
+        j AS ({' UNION ALL '.join(parts)}),
+        c AS (SELECT feature, part, class, count(*) AS n FROM j GROUP BY ALL),
+        t AS (SELECT *, sum(n) OVER (PARTITION BY feature, part) AS np, sum(n) OVER (PARTITION BY feature, class) AS nc, sum(n) OVER (PARTITION BY feature) AS total FROM c),
+        s AS (SELECT feature, 'mutual_information' AS score_kind, sum(n / total * ln(n * total / (np * nc::DOUBLE))) AS score FROM t GROUP BY 1 {corr})
+        SELECT s.feature, score_kind, round(abs(score) * sign(score), 6) + 0 AS score, warning_flags FROM s JOIN ({flags}) f ON f.name = s.feature"""
+
+
+def _signal(s, d, label, regression, categories):
+    df = _signal_source(read(s, d, "lineitem"))
+    out = G.feature_signal(df, [*_SIGNAL_NUMBERS, *_SIGNAL_TEXTS], label, "regression" if regression else "auto", categories=categories)
+    return out.withColumns({"score": F.round("score", 6) + F.lit(0.0), "warning_flags": F.array_join("warning_flags", ",")})
+
+
 QUERIES = {
+    "feature_signal": (
+        lambda s, d: _signal(s, d, "l_returnflag", False, 100), _signal_sql("l_returnflag", _SIGNAL_NUMBERS, _SIGNAL_TEXTS, False, 100)
+    ),
+    "feature_signal_regression": (
+        lambda s, d: _signal(s, d, "y", True, 20), _signal_sql("y", _SIGNAL_NUMBERS, _SIGNAL_TEXTS, True, 20)
+    ),
     "data_profile": (lambda s, d: _flags_out(P.data_profile(read(s, d, "lineitem"))), _profile_sql("lineitem", _LINEITEM)),
     "data_profile_flags": (
         lambda s, d: _flags_out(P.data_profile(_gaps(read(s, d, "orders")))),
