@@ -139,7 +139,80 @@ def _sheet_catalog(s, d):
 _CATALOG_SQL = f"""WITH {_CELLS}, x AS (SELECT sheet, n, r, address, CASE WHEN address[1] = 'A' THEN 'v' WHEN address = 'K1' THEN 'v' END AS value, formula FROM cells)
     SELECT sheet, max(r)::BIGINT AS row_count, 11::BIGINT AS column_count, count(value) AS value_count, count(formula) AS formula_count FROM x GROUP BY 1"""
 
+def _sheets(s, d):
+    """Cell table of one sheet per order priority, with typed, mixed, sparse, unnamed and repeated columns."""
+    from pyspark.sql import Window as W
+
+    orders = read(s, d, "orders").withColumn("row", F.row_number().over(W.partitionBy("o_orderpriority").orderBy("o_orderkey")))
+    k = C("o_orderkey")
+    day = F.date_diff(C("o_orderdate").cast("date"), L("1899-12-30").cast("date")).cast("string")
+    filled = [
+        ("n", k.cast("string")), ("n", F.when(k % 5 != 0, C("o_custkey").cast("string"))), ("n", C("o_totalprice").cast("string")),
+        ("s", F.when(k % 3 == 0, L("NA")).otherwise(C("o_orderstatus"))), ("b", F.when(k % 2 == 0, L("true")).otherwise(L("false"))), ("d", day),
+        (None, C("o_orderstatus")), ("e", L("#DIV/0!")), ("n", k.cast("string")),
+    ]
+
+    def cell(row, col, kind, value):
+        return F.struct(row.cast("int").alias("row"), L(col).alias("col"), value.alias("value"), kind.alias("kind"))
+
+    mixed = F.when(k % 4 == 0, L("s")).otherwise(L("n"))  # text among numbers
+    body = F.array(*[cell(C("row"), i, mixed if kind is None else L(kind), v if kind is not None else F.when(k % 4 == 0, C("o_orderstatus")).otherwise(k.cast("string"))) for i, (kind, v) in enumerate(filled)])
+    head = F.array(*[cell(L(0), i, L("s"), L(n)) for i, n in enumerate(_HEADER) if n])
+    rows = orders.select(C("o_orderpriority").alias("sheet"), F.explode(body).alias("c"))
+    heads = orders.select(C("o_orderpriority").alias("sheet")).distinct().select("sheet", F.explode(head).alias("c"))
+    both = rows.unionByName(heads).select(L("book").alias("path"), "sheet", "c.*").filter(C("value").isNotNull())
+    return both.withColumns({"address": G.to_address(C("row"), C("col")), "formula": L(None).cast("string")})
+
+
+_HEADER = ["key", "cust", "price", "status", "even", "day", "mixed", None, "key"]
+_SHEET_NAMES = ["key", "cust", "price", "status", "even", "day", "mixed", "column_8", "key.1"]
+_SHEET_TYPES = "CASE {c} WHEN 0 THEN 'bigint' WHEN 1 THEN CASE WHEN gaps > 0 THEN 'double' ELSE 'bigint' END WHEN 2 THEN 'double' WHEN 4 THEN 'boolean' WHEN 5 THEN 'timestamp' WHEN 7 THEN 'double' WHEN 8 THEN 'bigint' ELSE 'string' END"
+_SHEET_COLUMNS_SQL = " UNION ALL ".join(f"""
+    SELECT sheet, {i} AS col, '{n}' AS name, {_SHEET_TYPES.format(c=i)} AS inferred_type,
+           {'gaps' if i == 1 else 'na' if i == 3 else 'n' if i == 7 else '0'}::BIGINT AS missing_count, n AS row_count
+    FROM (SELECT o_orderpriority AS sheet, count(*) AS n, count(*) FILTER (o_orderkey % 5 = 0) AS gaps, count(*) FILTER (o_orderkey % 3 = 0) AS na FROM orders GROUP BY 1)"""
+    for i, n in enumerate(_SHEET_NAMES))
+
+
+def _sheet_columns(s, d):
+    from tablescope.sources.workbook import sheet_columns
+
+    return sheet_columns(_sheets(s, d)).drop("path")
+
+
+def _sheet_previews(s, d):
+    from tablescope.sources.workbook import workbook_catalog
+
+    rows = workbook_catalog(_sheets(s, d)).select("sheet", "row_count", F.size("columns").alias("n_columns"), F.posexplode("preview_rows").alias("place", "r"))
+    return rows.select("sheet", "row_count", "n_columns", "place", *[F.element_at("r", n).alias(n.replace(".", "_")) for n in _SHEET_NAMES if n != "price"])
+
+
+_SHEET_PREVIEW_SQL = """
+    SELECT o_orderpriority AS sheet, n AS row_count, 9 AS n_columns, (r - 1)::INT AS place, o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey::VARCHAR ELSE '' END AS cust,
+           CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even,
+           date_diff('day', DATE '1899-12-30', o_orderdate::DATE)::VARCHAR AS day, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE o_orderkey::VARCHAR END AS mixed,
+           '' AS column_8, o_orderkey::VARCHAR AS key_1
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE r <= 10"""
+
+
+def _typed_sheet(s, d):
+    from tablescope.sources.workbook import typed_sheet
+
+    table = typed_sheet(_sheets(s, d), "book", "2-HIGH")
+    return table.select(
+        "_row_id", (C("key") + 1).alias("key"), (C("cust") / 2).alias("half"), "price", "status", (~C("even")).alias("odd"), F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("day"), "mixed", "column_8",
+        (C("`key.1`") * 2).alias("twice"))
+
+
+_TYPED_SHEET_SQL = """
+    SELECT row_number() OVER (ORDER BY o_orderkey) AS _row_id, o_orderkey + 1 AS key, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey / 2.0::DOUBLE END AS half, o_totalprice AS price,
+           CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status, o_orderkey % 2 <> 0 AS odd, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS day,
+           CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE o_orderkey::VARCHAR END AS mixed, NULL::DOUBLE AS column_8, o_orderkey * 2 AS twice FROM orders WHERE o_orderpriority = '2-HIGH'"""
+
 QUERIES = {
+    "sheet_columns": (_sheet_columns, _SHEET_COLUMNS_SQL),
+    "sheet_preview": (_sheet_previews, _SHEET_PREVIEW_SQL),
+    "typed_sheet": (_typed_sheet, _TYPED_SHEET_SQL),
     "formula_cells": (_extract, f"WITH {_CELLS} SELECT sheet, address, coalesce(formula, '=LEFT(A1,2)') AS formula FROM cells WHERE formula IS NOT NULL OR address = 'K1'"),
     "sheet_catalog": (_sheet_catalog, _CATALOG_SQL),
     "formula_deps": (_edges, f"WITH {_EDGES} SELECT * FROM edges"),

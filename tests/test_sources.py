@@ -60,6 +60,41 @@ def test_workbooks(spark, books):
     assert {tuple(r) for r in edges.collect()} == {("Sheet1!C2", "Sheet1!A2"), ("Sheet1!C2", "Sheet1!B2")}
 
 
+STYLES = f'<styleSheet {MAIN}><numFmts><numFmt numFmtId="164" formatCode="yyyy/mm/dd"/><numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/></numFmts>' \
+    '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+
+
+def test_typed_sheets_and_catalog(spark, tmp_path):
+    """Two sheets of one file and a second file: names, types, missing cells and first rows of each."""
+    rows = [['<c r="A1" t="s"><v>0</v></c>', '<c r="B1" t="s"><v>1</v></c>', '<c r="D1" t="s"><v>0</v></c>', '<c r="E1"><v>2024</v></c>']]
+    for i in range(2, 15):
+        gap = "" if i == 3 else f'<c r="B{i}"><v>{i}.5</v></c>'
+        rows.append([f'<c r="A{i}"><v>{i}</v></c>', gap, f'<c r="C{i}" s="{1 + i % 2}"><v>{46000 + i}.25</v></c>', f'<c r="D{i}" t="s"><v>{2 + i % 2}</v></c>', f'<c r="E{i}" s="3"><v>{i}</v></c>'])
+    rows[4][4] = '<c r="E5" t="e"><v>#DIV/0!</v></c>'
+    write_xlsx(tmp_path / "b.xlsx", {"Main": rows, "Empty": [], "Head": [['<c r="A1" t="s"><v>0</v></c>']]}, ["name", "x", "NA", "text"])
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "a") as z:
+        z.writestr("xl/styles.xml", STYLES)
+    write_xlsx(tmp_path / "c.xlsx", {"Main": [['<c r="A1" t="s"><v>0</v></c>'], ['<c r="A2" t="b"><v>1</v></c>'], ['<c r="A3" t="b"><v>0</v></c>']]}, ["flag"])
+    cells = B.scan_workbooks(spark, str(tmp_path / "*.xlsx"))
+    sheets = {(r.path[-6:], r.sheet): r for r in B.workbook_catalog(cells).collect()}
+    assert set(sheets) == {("b.xlsx", "Main"), ("b.xlsx", "Head"), ("c.xlsx", "Main")}
+    main = sheets["b.xlsx", "Main"]
+    assert main.row_count == 13 and [tuple(c) for c in main.columns] == [
+        ("name", "bigint", 0), ("x", "double", 1), ("column_3", "timestamp", 0), ("name.1", "string", 7), ("2024", "double", 1)]
+    assert len(main.preview_rows) == 10 and main.preview_rows[1] == {"name": "3", "x": "", "column_3": "46003.25", "name.1": "text", "2024": "3"}
+    head, flags = sheets["b.xlsx", "Head"], sheets["c.xlsx", "Main"]
+    assert (head.row_count, [tuple(c) for c in head.columns], head.preview_rows) == (0, [("name", "double", 0)], [])
+    assert [tuple(c) for c in flags.columns] == [("flag", "boolean", 0)] and flags.preview_rows[1] == {"flag": "false"}
+    table = B.typed_sheet(cells, main.path, "Main")
+    assert [t for _, t in table.dtypes] == ["bigint", "bigint", "double", "timestamp", "string", "double"]
+    second = table.filter("_row_id = 2").first()
+    assert (second["name"], second["x"], second["name.1"], second["2024"]) == (3, None, "text", 3.0)
+    assert second["column_3"].isoformat() == "2025-12-12T06:00:00"
+    assert B.typed_sheet(cells, main.path, "Empty").count() == 0
+    fitted = W.fit_supervised(table.withColumnRenamed("2024", "y").fillna(0.0, ["y"]).drop("name.1", "column_3"), Roles(("name", "x"), "y"), PrepSpec(), "linear_regression", task="regression", order_by=["_row_id"])
+    assert fitted.metrics.count() > 0  # numbers of a sheet are numeric features without further steps
+
+
 def test_formula_store(spark, books):
     cells = B.scan_workbooks(spark, str(books / "b1.xlsx"))
     store = str(books / "formulas")
