@@ -28,14 +28,15 @@ def _suppliers(s, d):
     return read(s, d, "supplier").select((F.col("s_suppkey") + 1).alias("_row_id"), (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_nationkey") / 2.5).alias("y"))
 
 
-def _near(source, eps):
-    return f"near AS (SELECT a._row_id AS a, b._row_id AS b FROM {source} a JOIN {source} b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {eps})"
+def _near(source, eps, cols=("x", "y")):
+    gap = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in cols)
+    return f"near AS (SELECT a._row_id AS a, b._row_id AS b FROM {source} a JOIN {source} b ON sqrt({gap}) <= {eps})"
 
 
-def _dbscan_sql(source, eps, m):
+def _dbscan_sql(source, eps, m, cols=("x", "y")):
     """Reachability between core rows by recursion; numbers by first core row; borders take the smallest."""
     return f"""
-        WITH RECURSIVE {_near(source, eps)},
+        WITH RECURSIVE {_near(source, eps, cols)},
         core AS (SELECT a AS k FROM near GROUP BY 1 HAVING count(*) >= {m}),
         links AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
         reach AS (SELECT k AS start, k FROM core UNION SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.k),
@@ -103,6 +104,55 @@ _LOF_SQL = f"""
     SELECT r.a AS _row_id, round(avg(o.lrd) / any_value(m.lrd), 6) AS lof FROM r JOIN lrd o ON o.a = r.b JOIN lrd m ON m.a = r.a GROUP BY 1"""
 
 
+# Groups of 30 customers in six columns, far from each other.
+_GROUPED = [f"(floor(c_custkey / 30) * {7919 + 131 * i} % 10007 + c_custkey * {31 + 17 * i} % 13 / 20.0::DOUBLE) AS c{i}" for i in range(6)]
+_GROUPED_SQL = f"(SELECT c_custkey + 1 AS _row_id, {', '.join(_GROUPED)} FROM customer)"
+
+
+def _grouped(s, d):
+    k = F.col("c_custkey")
+    return read(s, d, "customer").select((k + 1).alias("_row_id"), *[
+        (F.floor(k / 30) * (7919 + 131 * i) % 10007 + k * (31 + 17 * i) % 13 / 20).alias(f"c{i}") for i in range(6)])
+
+
+def _dbscan_grouped(s, d):
+    return C.dbscan(_grouped(s, d), [f"c{i}" for i in range(6)], "_row_id", 0.7001, 4).select("_row_id", "_cluster")
+
+
+def _gap(cols):
+    return "sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in cols) + ")"
+
+
+def _flags(s, d):
+    """Two 0/1 columns and a balance: many copies, regions that no cut can balance."""
+    k = F.col("c_custkey")
+    return read(s, d, "customer").select(
+        (k + 1).alias("_row_id"), (k % 2).cast("double").alias("f1"), (k % 7 == 0).cast("double").alias("f2"), F.floor(F.col("c_acctbal") / 500).cast("double").alias("v"))
+
+
+_FLAGS = "(SELECT c_custkey + 1 AS _row_id, (c_custkey % 2)::DOUBLE AS f1, (c_custkey % 7 = 0)::INT::DOUBLE AS f2, floor(c_acctbal / 500)::DOUBLE AS v FROM customer)"
+_FLAG_AXES = ["f1", "f2", "v"]
+_FLAG_NEAR = f"""p AS (SELECT *, min(_row_id) OVER (PARTITION BY f1, f2, v) AS spot FROM {_FLAGS}),
+    n AS (SELECT a._row_id AS a, b._row_id AS b, {_gap(_FLAG_AXES)} AS dist, b.spot FROM p a JOIN p b ON a._row_id <> b._row_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, spot, b) AS k FROM n)"""
+
+
+def _knn_flags(s, d):
+    return N.knn_join(_flags(s, d), _FLAG_AXES, 7, "_row_id").withColumn("distance", F.round("distance", 8))
+
+
+def _lof_flags(s, d):
+    out = N.local_outlier_factor(_flags(s, d), _FLAG_AXES, 40, "_row_id", "lof")
+    return out.select("_row_id", (F.round(F.log("lof"), 5) + 0.0).alias("log_lof"))
+
+
+_LOF_FLAGS_SQL = f"""
+    WITH {_FLAG_NEAR}, t AS (SELECT * FROM r WHERE k <= 40),
+    kd AS (SELECT a, max(dist) AS kd FROM t GROUP BY 1),
+    lrd AS (SELECT t.a, 1 / (avg(greatest(kd.kd, dist)) + 1e-10) AS lrd FROM t JOIN kd ON kd.a = t.b GROUP BY 1)
+    SELECT t.a AS _row_id, round(ln(avg(o.lrd) / any_value(m.lrd)), 5) + 0 AS log_lof FROM t JOIN lrd o ON o.a = t.b JOIN lrd m ON m.a = t.a GROUP BY 1"""
+
+
 def _core(s, d):
     return C.core_points(_customers(s, d), AXES, "_row_id", 0.4, 8)
 
@@ -255,6 +305,9 @@ QUERIES = {
     "eps_core": (_core, _CORE_SQL),
     "dbscan": (_dbscan, _dbscan_sql(_SUPPLIERS, 0.6, 3)),
     "dbscan_customers": (_dbscan_customers, _dbscan_sql(_CUSTOMERS, 0.25, 10)),
+    "dbscan_six_columns": (_dbscan_grouped, _dbscan_sql(_GROUPED_SQL, 0.7001, 4, tuple(f"c{i}" for i in range(6)))),
+    "knn_flags": (_knn_flags, f"WITH {_FLAG_NEAR} SELECT a AS _row_id, b AS neighbor, round(dist, 8) AS distance, k AS rank FROM r WHERE k <= 7"),
+    "lof_flags": (_lof_flags, _LOF_FLAGS_SQL),
     "dbscan_embeddings": (_dbscan_embeddings, None),
     "pca_projection": (_pca, None),
     "knn_exact": (_knn, _KNN_SQL),

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescope.functions.values import present
+from tablescope.operators import boxtree as B
 from tablescope.operators.components import connected_components
 from tablescope.operators.neighbors import centroids, nearest_centroid, squared
 from tablescope.operators.ordering import number_rows
@@ -28,6 +29,8 @@ REASON_MANUAL = "Cluster needs manual inspection."
 
 # Piece pairs with at most this many point pairs are compared point by point.
 DIRECT_PAIRS = 4_096
+# Occupied cells per region of the tree aimed at.
+REGION_CELLS = 64
 _MAX_LEVEL = 40
 _SLACK = 1e-12
 
@@ -96,14 +99,35 @@ class _Grid:
 
     def near_cells(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of different cells whose boxes are within eps; columns a_*, b_*."""
+        pairs = self.candidates(left, right).filter(F.col("a_cell") != F.col("b_cell"))
+        near, far = self.box_gaps("a_", "b_")
+        return pairs.withColumns({"near": near, "far": far}).filter(F.col("near") <= self.limit)
+
+    def candidates(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of cells whose boxes are then compared.
+
+        Up to three columns: cells at most ``reach`` steps apart on every axis. Beyond that steps
+        on three axes say little and steps on all are too many: a tree of boxes over the
+        cells sends each left cell to the regions whose tight box is within eps of it.
+        """
+        return self._by_steps(left, right) if self.d <= self.lead else self._by_tree(left, right)
+
+    def _by_tree(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = self.prefixed(left, "a_"), self.prefixed(right, "b_")
+        low, high = ["b_" + c for c in self.lo], ["b_" + c for c in self.hi]
+        cuts = B.fit_cuts(right, self.lo, "cell", right.count(), REGION_CELLS)
+        b = materialize(b.withColumn("region", B.region_of(b, cuts, low)))
+        tree = B.build(b, cuts, low, high, F.count(F.lit(1)))
+        within = B.regions_within(a, tree, ["a_" + c for c in self.lo], ["a_" + c for c in self.hi], F.lit(self.eps))
+        return a.withColumn("region", F.explode(within)).join(b, "region").drop("region")
+
+    def _by_steps(self, left: DataFrame, right: DataFrame) -> DataFrame:
         steps = range(-self.reach, self.reach + 1)
         offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product(steps, repeat=self.lead)])
         a = self.prefixed(left, "a_").withColumn("o", F.explode(offsets))
         a = a.withColumns({f"m{i}": F.col(f"a_g{i}") + F.col("o")[i] for i in range(self.lead)}).drop("o")
         b = self.prefixed(right, "b_").withColumns({f"m{i}": F.col(f"b_g{i}") for i in range(self.lead)})
-        near, far = self.box_gaps("a_", "b_")
-        pairs = a.join(b, [f"m{i}" for i in range(self.lead)]).filter(F.col("a_cell") != F.col("b_cell"))
-        return pairs.withColumns({"near": near, "far": far}).filter(F.col("near") <= self.limit)
+        return a.join(b, [f"m{i}" for i in range(self.lead)])
 
 
 def _touching(grid: _Grid, asking: DataFrame, cells: DataFrame, points: DataFrame, extra: list[Column]) -> tuple[DataFrame, DataFrame]:

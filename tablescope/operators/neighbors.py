@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescope.operators import boxtree as B
+from tablescope.operators.boxtree import _regions, _split_tree, matrix  # noqa: F401  used from here by others
 from tablescope.session import materialize
 
-# Points per region aimed at, and the most regions the shared tree may have.
+# Places per region aimed at.
 _REGION_POINTS = 4_000
-_MAX_REGIONS = 1 << 16
 _CHUNK = 20_000
 _INLINE_CENTROIDS = 1_000
 
@@ -46,112 +46,22 @@ def eps_join(df: DataFrame, cols: Sequence[str], eps: float, key: str) -> DataFr
     return pairs.select("left", "right", gap.alias("distance")).filter(F.col("distance") <= F.lit(eps))
 
 
-def _best_cut(rows: np.ndarray) -> tuple[int, float]:
-    """Axis and cut that separate ``rows``: the widest axis whose median leaves about half on
-    either side, else the one nearest to that. A median at the maximum (flags, codes) moves
-    down to the next smaller value, so a cut always leaves rows on both sides."""
-    best, off = (0, float(rows[:, 0].max())), 1.0
-    for i in np.argsort(rows.min(axis=0) - rows.max(axis=0), kind="stable"):
-        x = rows[:, i]
-        at, top = float(np.median(x)), float(x.max())
-        if x.min() == top:
-            continue
-        if at >= top:
-            at = float(x[x < top].max())
-        away = abs(float(np.mean(x <= at)) - 0.5)
-        if away <= 0.15:
-            return int(i), at
-        if away < off:
-            best, off = (int(i), at), away
-    return best
-
-
-def _split_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Axis and cut per node of a complete binary tree over a bounded sample."""
-    nodes = (1 << depth) - 1
-    axis, cut = np.zeros(nodes, dtype=int), np.full(nodes, -np.inf)
-    groups = {0: points}
-    for node in range(nodes):
-        rows = groups.pop(node)
-        if len(rows):
-            axis[node], cut[node] = _best_cut(rows)
-        below = rows[:, axis[node]] <= cut[node] if len(rows) else np.zeros(0, dtype=bool)
-        groups[2 * node + 1], groups[2 * node + 2] = rows[below], rows[~below]
-    return axis, cut
-
-
-def _regions(tree: tuple[np.ndarray, np.ndarray], depth: int, x: np.ndarray) -> np.ndarray:
-    axis, cut = tree
-    node = np.zeros(len(x), dtype=int)
-    rows = np.arange(len(x))
-    for _ in range(depth):
-        node = 2 * node + 1 + (x[rows, axis[node]] > cut[node])
-    return node - ((1 << depth) - 1)
-
-
-def matrix(series: pd.Series | Sequence[pd.Series]) -> np.ndarray:
-    """Rows by columns; a one-column UDF gets a bare series."""
-    if isinstance(series, pd.Series):
-        series = (series,)
-    return np.column_stack([s.to_numpy(dtype=float) for s in series])
-
-
 def nearest(queries: DataFrame, data: DataFrame, dims: int, k: int, exclude_self: bool) -> DataFrame:
     """Exact k nearest ``data`` places for every query.
 
     ``queries``: (q, x0..); ``data``: (p, first, w, x0..) where ``w`` rows share a place and
     ``first`` breaks ties. Returns (q, p, distance, take): how many rows of place p belong
     to the k nearest. Space is cut into regions of a few thousand places by a tree from a
-    sample; a query searches its own region, then only regions whose box is closer than
-    the k-th distance found, in chunks of bounded size.
+    sample. A query first searches its own region, with as many regions beside it as hold k
+    rows; the k-th distance found there then bounds a descent of the tree, and only regions
+    whose box is closer are searched besides, in chunks of bounded size.
     """
-    spark = queries.sparkSession
     xs = [f"x{i}" for i in range(dims)]
-    n = data.count()
-    depth = max(0, min(int(math.log2(_MAX_REGIONS)), math.ceil(math.log2(max(1.0, n / _REGION_POINTS)))))
-    share = min(1.0, 1.5 * 16 * (1 << depth) / max(1, n))
-    sample = data.select(*xs) if share >= 1.0 else data.filter(
-        F.pmod(F.xxhash64("p"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
-    ).select(*xs)
-    points = sample.toPandas().to_numpy(dtype=float) if depth else np.zeros((0, dims))
-    tree = _split_tree(points, depth)
-    shared = spark.sparkContext.broadcast(tree)
-
-    @F.pandas_udf("int")
-    def region(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for series in batches:
-            yield pd.Series(_regions(shared.value, depth, matrix(series)))
-
-    placed = materialize(data.withColumn("region", region(*xs)))
-    boxes = placed.groupBy("region").agg(
-        F.sum("w").alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(xs)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(xs)]
-    ).toPandas()
-    ids = boxes["region"].to_numpy()
-    low = boxes[[f"lo{i}" for i in range(dims)]].to_numpy(dtype=float)
-    high = boxes[[f"hi{i}" for i in range(dims)]].to_numpy(dtype=float)
-    box = spark.sparkContext.broadcast((ids, low, high))
-    own_region = region(*xs)
-    asked = materialize(queries.withColumn("region", own_region))
-
-    first = _search(asked, placed, xs, k, exclude_self)
-    # a query without k hits yet has to look everywhere
-    reach = first.groupBy("q").agg(F.sum("w").alias("got"), F.max("distance").alias("d"))
-    bound = asked.join(reach, "q", "left").withColumn("bound", F.when(F.col("got") >= k, F.col("d")).otherwise(F.lit(float("inf"))))
-
-    @F.pandas_udf("array<int>")
-    def others(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        ids, low, high = box.value
-        for series in batches:
-            x, own, limit = matrix(series[:-2]), series[-2].to_numpy(), series[-1].to_numpy(dtype=float)
-            out = []
-            for i in range(len(x)):
-                gap = np.maximum(np.maximum(low - x[i], x[i] - high), 0.0)
-                near = (np.sqrt((gap * gap).sum(axis=1)) <= limit[i] * (1 + 1e-12)) & (ids != own[i])
-                out.append(ids[near].tolist())
-            yield pd.Series(out)
-
-    far = bound.withColumn("region", F.explode(others(*xs, "region", "bound"))).select("q", *xs, "region")
-    more = _search(far, placed, xs, k, exclude_self)
+    placed, asked, tree = _placed(queries, data, xs)
+    start = asked.withColumn("starts", B.regions_around(asked, tree, "region", k + int(exclude_self)))
+    start = materialize(start)
+    first = materialize(_search(start.select("q", *xs, F.explode("starts").alias("region")), placed, xs, k, exclude_self))
+    more = _search(_further(start, first, tree, xs, k), placed, xs, k, exclude_self)
     both = first.unionByName(more)
     order = W.partitionBy("q").orderBy("distance", "first")
     before = order.rowsBetween(W.unboundedPreceding, -1)
@@ -159,11 +69,31 @@ def nearest(queries: DataFrame, data: DataFrame, dims: int, k: int, exclude_self
     return ranked.filter(F.col("_before") < k).select("q", "p", "distance", F.least(F.col("w"), F.lit(k) - F.col("_before")).alias("take"))
 
 
+def _placed(queries: DataFrame, data: DataFrame, xs: list[str]) -> tuple[DataFrame, DataFrame, B.BoxTree]:
+    """Places and queries with their regions, and the tree over the places."""
+    cuts = B.fit_cuts(data, xs, "p", data.count(), _REGION_POINTS)
+    placed = materialize(data.withColumn("region", B.region_of(data, cuts, xs)))
+    return placed, queries.withColumn("region", B.region_of(queries, cuts, xs)), B.build(placed, cuts, xs, xs, F.sum("w"))
+
+
+def _further(start: DataFrame, first: DataFrame, tree: B.BoxTree, xs: list[str], k: int) -> DataFrame:
+    """(q, x.., region): regions not searched yet that are closer than the k-th distance found.
+
+    Where fewer than k rows were found, the search has been everywhere.
+    """
+    order = W.partitionBy("q").orderBy("distance", "first")
+    upto = F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1))
+    kth = first.withColumn("_before", F.coalesce(upto, F.lit(0))).filter(F.col("_before") < k).groupBy("q").agg(F.max("distance").alias("bound"))
+    bound = start.join(kth, "q")
+    asked = bound.withColumn("regions", B.regions_within(bound, tree, xs, xs, F.col("bound")))
+    return asked.select("q", *xs, F.explode(F.array_except("regions", "starts")).alias("region"))
+
+
 def _search(asked: DataFrame, placed: DataFrame, xs: list[str], k: int, exclude_self: bool) -> DataFrame:
     """Best hits of each query inside the region it asks for, region by region and chunk by chunk."""
     spread = asked.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(1 << 20)))
     load = asked.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(_CHUNK)).cast("int").alias("chunks"))
-    rows = load.collect()  # one row per region, at most _MAX_REGIONS
+    rows = load.collect()  # one row per region, at most B.MAX_REGIONS
 
     def chunks(name: str) -> DataFrame:
         return F.broadcast(asked.sparkSession.createDataFrame(rows, f"region int, {name} int"))
