@@ -112,6 +112,50 @@ def _levels_sql(select):
         {select}"""
 
 
+def _deep_cells(s, d):
+    """A sheet per thousand orders; P reads P and Q of the row above, Q reads P: two levels a row. S sums whole columns."""
+    k = C("o_orderkey")
+    base = read(s, d, "orders").select(F.concat(L("S"), F.floor(k / 1000).cast("string")).alias("sheet"), (k % 1000 + 1).alias("r"), C("o_totalprice").cast("string").alias("price"))
+    r, up, first = C("r").cast("string"), (C("r") - 1).cast("string"), C("r") == 1
+    null = L(None).cast("string")
+
+    def cell(col, formula, value=null):
+        return F.struct(F.concat(L(col), r).alias("address"), formula.alias("formula"), value.alias("value"))
+
+    made = F.array(
+        cell("A", null, C("price")),
+        cell("P", F.when(first, L("=A1")).otherwise(F.concat(L("=A"), r, L("+P"), up, L("+Q"), up))),
+        cell("Q", F.when(first, L("=P1")).otherwise(F.concat(L("=P"), r, L("*Q"), up))),
+        F.when(first, cell("S", L("=SUM(A1:Q1048576)"))), F.when(first, cell("T", L("=SUM(P1:P1000)/S1"))),
+    )
+    return base.select("sheet", "r", F.explode(F.array_compact(made)).alias("c")).select("sheet", "r", "c.*")
+
+
+def _deep_levels(s, d):
+    cells = _deep_cells(s, d)
+    formulas = cells.filter(C("formula").isNotNull()).select(G.cell_key(C("sheet"), C("address")).alias("cell"))
+    return G.recalc_levels(G.formula_graph(cells), formulas)
+
+
+# Rows of a sheet have no gaps, so the level of a row follows from its number.
+_DEEP_SQL = """
+    WITH o AS (SELECT 'S' || o_orderkey // 1000 AS sheet, o_orderkey % 1000 + 1 AS r FROM orders), n AS (SELECT sheet, max(r) AS n FROM o GROUP BY 1)
+    SELECT sheet || '!P' || r AS cell, 2 * (r - 1) AS level FROM o UNION ALL SELECT sheet || '!Q' || r, 2 * r - 1 FROM o
+    UNION ALL SELECT sheet || '!S1', 2 * n FROM n UNION ALL SELECT sheet || '!T1', 2 * n + 1 FROM n"""
+
+
+def _range_affected(s, d):
+    cells = _deep_cells(s, d)
+    changed = cells.filter(C("address").startswith("A") & (C("r") == 990)).select(G.cell_key(C("sheet"), C("address")).alias("cell"))
+    return G.affected_cells(G.formula_graph(cells), changed)
+
+
+_RANGE_AFFECTED_SQL = """
+    WITH o AS (SELECT 'S' || o_orderkey // 1000 AS sheet, o_orderkey % 1000 + 1 AS r FROM orders), c AS (SELECT sheet FROM o WHERE r = 990)
+    SELECT sheet || '!A990' AS cell FROM c UNION ALL SELECT sheet || '!' || x || '1' FROM c, (VALUES ('S'), ('T')) t(x)
+    UNION ALL SELECT o.sheet || '!' || x || r FROM o, (VALUES ('P'), ('Q')) t(x) WHERE r >= 990 AND o.sheet IN (FROM c)"""
+
+
 def _audit(s, d):
     out = G.formula_audit(cells(s, d))
     return out.withColumn("functions", F.array_join("functions", ","))
@@ -218,6 +262,15 @@ QUERIES = {
     "formula_deps": (_edges, f"WITH {_EDGES} SELECT * FROM edges"),
     "affected_cells": (lambda s, d: G.affected_cells(_edges(s, d), _changed(s, d)), _closure(_CHANGED)),
     "recalc_levels": (lambda s, d: G.recalc_levels(_edges(s, d), _formula_cells(s, d)), _levels_sql("SELECT * FROM levels")),
+    "recalc_levels_deep": (_deep_levels, _DEEP_SQL),
+    "range_affected_cells": (_range_affected, _RANGE_AFFECTED_SQL),
+    "formula_graph_levels": (
+        lambda s, d: G.recalc_levels(G.formula_graph(cells(s, d)), _formula_cells(s, d)), _levels_sql("SELECT * FROM levels")
+    ),
+    "dependencies_of": (
+        lambda s, d: G.dependencies_of(_edges(s, d), _formula_cells(s, d).filter(C("cell").endswith("!D1") | C("cell").endswith("!E1"))),
+        f"WITH {_EDGES} SELECT * FROM edges WHERE cell LIKE '%!D1' OR cell LIKE '%!E1'",
+    ),
     "circular_cells": (lambda s, d: G.circular_cells(_edges(s, d), _formula_cells(s, d)), _levels_sql("SELECT cell FROM levels WHERE level IS NULL")),
     "formula_audit": (_audit, _AUDIT_SQL),
     "volatile_refresh_set": (
