@@ -153,6 +153,16 @@ _LOF_FLAGS_SQL = f"""
     SELECT t.a AS _row_id, round(ln(avg(o.lrd) / any_value(m.lrd)), 5) + 0 AS log_lof FROM t JOIN lrd o ON o.a = t.b JOIN lrd m ON m.a = t.a GROUP BY 1"""
 
 
+_CROWDED = "(SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 11 / 100.0::DOUBLE ELSE c_acctbal END AS x, c_custkey % 7 / 100.0::DOUBLE AS y, c_custkey % 5 / 100.0::DOUBLE AS z, c_custkey % 3 / 100.0::DOUBLE AS w FROM customer)"
+
+
+def _crowded(s, d):
+    """Half of the customers within a hand's breadth, in four columns."""
+    k = F.col("c_custkey")
+    return read(s, d, "customer").select(
+        k.alias("k"), F.when(k % 2 == 0, k % 11 / 100).otherwise(F.col("c_acctbal")).alias("x"), (k % 7 / 100).alias("y"), (k % 5 / 100).alias("z"), (k % 3 / 100).alias("w"))
+
+
 def _core(s, d):
     return C.core_points(_customers(s, d), AXES, "_row_id", 0.4, 8)
 
@@ -302,6 +312,10 @@ QUERIES = {
            SELECT a.k AS "left", b.k AS "right", round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM p a JOIN p b ON a.k < b.k
            WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.6""",
     ),
+    "eps_join_crowded": (
+        lambda s, d: N.eps_join(_crowded(s, d), ["x", "y", "z", "w"], 0.21, "k").groupBy(F.col("left").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 5).alias("total")),
+        f"""WITH p AS {_CROWDED} SELECT a.k, count(*) AS n, round(sum({_gap(["x", "y", "z", "w"])}), 5) AS total FROM p a JOIN p b ON a.k < b.k WHERE {_gap(["x", "y", "z", "w"])} <= 0.21 GROUP BY 1""",
+    ),
     "eps_core": (_core, _CORE_SQL),
     "dbscan": (_dbscan, _dbscan_sql(_SUPPLIERS, 0.6, 3)),
     "dbscan_customers": (_dbscan_customers, _dbscan_sql(_CUSTOMERS, 0.25, 10)),

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import boxtree as B
 from tablescope.operators.boxtree import _regions, _split_tree, matrix  # noqa: F401  used from here by others
-from tablescope.session import materialize
+from tablescope.session import materialize, small
 
 # Places per region aimed at.
 _REGION_POINTS = 4_000
 _CHUNK = 20_000
+# Rows on either side of a tile of compared pairs.
+_TILE = 1_000
 _INLINE_CENTROIDS = 1_000
 
 
@@ -31,21 +33,53 @@ def squared(a: Sequence[Column], b: Sequence[Column]) -> Column:
 def eps_join(df: DataFrame, cols: Sequence[str], eps: float, key: str) -> DataFrame:
     """(left, right, distance) for every pair of rows at most ``eps`` apart, left < right.
 
-    Rows meet only in neighbouring grid cells of side eps over the first three columns.
-    The result itself grows with density; clustering uses cell summaries instead.
+    Up to three columns rows meet in neighbouring grid cells of side eps, beyond that in the
+    regions of a box tree within eps. A crowded place is cut into tiles of at most about
+    ``_TILE`` x ``_TILE`` pairs, dealt by a hash, so no task gets all pairs of a place. The
+    result itself grows with density; clustering uses cell summaries instead.
     """
-    lead = list(cols)[:3]
-    cell = [F.floor(F.col(c) / F.lit(eps)).cast("bigint") for c in lead]
-    offsets = [F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=len(lead))]
-    x = [F.col(c).cast("double") for c in cols]
-    right = df.select(F.col(key).alias("right"), F.array(*x).alias("y"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    left = df.select(F.col(key).alias("left"), F.array(*x).alias("x"), F.explode(F.array(*offsets)).alias("o"), *[c.alias(f"g{i}") for i, c in enumerate(cell)])
-    left = left.select("left", "x", *[(F.col(f"g{i}") + F.col("o")[i]).alias(f"c{i}") for i in range(len(lead))])
+    left, right = _tiles(df, cols, eps, key)
     gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
-    pairs = left.join(right, [f"c{i}" for i in range(len(lead))]).filter(F.col("left") < F.col("right"))
+    pairs = left.join(right, ["place", "part", "tile"]).filter(F.col("left") < F.col("right"))
     return pairs.select("left", "right", gap.alias("distance")).filter(F.col("distance") <= F.lit(eps))
 
 
+def _tiles(df: DataFrame, cols: Sequence[str], eps: float, key: str) -> tuple[DataFrame, DataFrame]:
+    """Left and right rows by (place, part, tile).
+
+    A row lives in one place and visits all places in reach. The rows that live in a place are
+    dealt to parts, its visitors to tiles; each visitor goes to all parts, each inhabitant to all
+    tiles, so every pair meets once. Places with one part and one tile need no table: only the
+    busy ones are joined.
+    """
+    xs = [f"x{i}" for i in range(len(cols))]
+    rows = materialize(df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(n) for c, n in zip(cols, xs)]))
+    if len(cols) <= 3:
+        cell = [F.floor(F.col(n) / F.lit(eps)).cast("bigint") for n in xs]
+        offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=len(cols))])
+        at_home = rows.withColumn("place", F.array(*cell))
+        visits = rows.withColumn("place", F.explode(F.transform(offsets, lambda o: F.zip_with(F.array(*cell), o, lambda a, b: a + b))))
+    else:
+        cuts = B.fit_cuts(rows, xs, "key", rows.count(), _TILE // 4)
+        at_home = materialize(rows.withColumn("place", B.region_of(rows, cuts, xs)))
+        tree = B.build(at_home.withColumnRenamed("place", "region"), cuts, xs, xs, F.count(F.lit(1)))
+        visits = rows.withColumn("place", F.explode(B.regions_within(rows, tree, xs, xs, F.lit(float(eps)))))
+    living = at_home.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / _TILE).cast("int").alias("parts"))
+    visiting = visits.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / _TILE).cast("int").alias("tiles"))
+    busy = small(materialize(living.join(visiting, "place").filter((F.col("parts") > 1) | (F.col("tiles") > 1))))
+
+    def dealt(kind: str) -> Column:
+        return F.pmod(F.xxhash64("key", F.lit(kind)), F.col(kind)).cast("int")
+
+    def sized(table: DataFrame) -> DataFrame:
+        return table.join(busy, "place", "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "tiles": F.coalesce("tiles", F.lit(1))})
+
+    every = lambda kind: F.explode(F.sequence(F.lit(0), F.col(kind) - 1))
+    left = sized(visits).select(F.col("key").alias("left"), F.array(*xs).alias("x"), "place", dealt("tiles").alias("tile"), every("parts").alias("part"))
+    right = sized(at_home).select(F.col("key").alias("right"), F.array(*xs).alias("y"), "place", dealt("parts").alias("part"), every("tiles").alias("tile"))
+    return left, right
+
+
 def nearest(queries: DataFrame, data: DataFrame, dims: int, k: int, exclude_self: bool) -> DataFrame:
     """Exact k nearest ``data`` places for every query.
 

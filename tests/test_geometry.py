@@ -79,6 +79,23 @@ def test_eps_join(spark):
     assert got == {(i + 1, j + 1) for i in range(80) for j in range(i + 1, 80) if math.dist(x[i], x[j]) <= 0.8}
 
 
+@pytest.mark.parametrize("dims", [2, 5])
+def test_eps_join_splits_a_crowded_place(spark, monkeypatch, dims):
+    """Half of all rows in one cell: all pairs are found and no task has more than twice the median."""
+    monkeypatch.setattr(N, "_TILE", 20)
+    rng = np.random.default_rng(dims)
+    x = np.vstack([rng.uniform(0, 0.4, size=(300, dims)), rng.uniform(0, 40, size=(300, dims))])
+    df, cols = frame(spark, x)
+    got = {(r.left, r.right) for r in N.eps_join(df, cols, 0.5, "_row_id").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert got == {(i + 1, j + 1) for i, j in zip(*np.nonzero(np.triu(d <= 0.5, 1)))}
+    left, right = N._tiles(df, cols, 0.5, "_row_id")
+    met = left.join(right, ["place", "part", "tile"])
+    assert met.groupBy("place", "part", "tile").count().agg(F.max("count")).first()[0] <= 40 * 40
+    tasks = sorted(r["count"] for r in met.groupBy(F.pmod(F.hash("place", "part", "tile"), F.lit(8)).alias("task")).count().collect())
+    assert len(tasks) == 8 and tasks[-1] <= 2 * tasks[4]
+
+
 @pytest.mark.parametrize("inline", [1000, 3])
 def test_nearest_centroid(spark, monkeypatch, inline):
     monkeypatch.setattr(N, "_INLINE_CENTROIDS", inline)
