@@ -155,11 +155,12 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescope.llm.columns import crc_mod4, held_out
-    from tablescope.llm.toxicity import draw_labels, score_toxicity, train
+    from tablescope.llm.toxicity import class_totals, draw_labels, score_toxicity, train
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").filter(crc_mod4(F.col("doc_id")) != 2).select("doc_id", "toxic")
-    model = train(docs.join(F.broadcast(draw_labels(labels)), "doc_id").select("text", "toxic"), texts=docs.select("text"))
+    drawn = docs.join(F.broadcast(draw_labels(labels)), "doc_id").select("text", "toxic")
+    model = train(drawn, texts=docs.select("text"), totals=class_totals(labels))
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

@@ -164,19 +164,12 @@ def restored(model: CharModel, text: str | None, memory: dict[str, tuple[str, ..
         return Counter()
     low = text.lower()
     out: Counter = Counter()
-    for m in _SPACED.finditer(low):
-        words = decode(model, m.group(), SPACED).split()
-        for word in {*words, *([decode(model, m.group())] if len(words) > 1 else [])}:
-            if len(word) >= 3:
-                out[word] += 1
+    for word in spaced_words(model, low):
+        out[word] += 1
     for token, n in Counter(low.split()).items():
         got = memory.get(token)
         if got is None:
-            plain = tuple(_PLAIN.findall(token))
-            got = plain
-            if disguised(token):
-                word = decode(model, token.strip(_EDGES))
-                got = (*plain, *(w for w in _PLAIN.findall(word) if w not in plain))
+            got = token_words(model, token)
             if len(memory) >= REMEMBERED:
                 memory.clear()
             memory[token] = got
@@ -185,6 +178,24 @@ def restored(model: CharModel, text: str | None, memory: dict[str, tuple[str, ..
     return out
 
 
+def token_words(model: CharModel, token: str) -> tuple[str, ...]:
+    """Words of a lower-case token as written, and after decoding if it is disguised."""
+    plain = tuple(_PLAIN.findall(token))
+    if not disguised(token):
+        return plain
+    word = decode(model, token.strip(_EDGES))
+    return (*plain, *(w for w in _PLAIN.findall(word) if w not in plain))
+
+
+def spaced_words(model: CharModel, low: str) -> Iterator[str]:
+    """Words written letter by letter in a lower-case text: each run as words, and besides as one word."""
+    for m in _SPACED.finditer(low):
+        words = decode(model, m.group(), SPACED).split()
+        for word in {*words, *([decode(model, m.group())] if len(words) > 1 else [])}:
+            if len(word) >= 3:
+                yield word
+
+
 def features(word: str) -> list[str]:
     """The word, and its beginnings (marked) where it is longer."""
     return [word, *(word[:n] + "~" for n in PREFIXES if len(word) >= n)]
@@ -202,6 +213,7 @@ class Model:
     memory: dict = field(default_factory=dict)
     known: dict = field(default_factory=dict)
     joins: dict = field(default_factory=dict)
+    starts: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         whole = {f.rstrip("~") for f in self.weights}
@@ -211,65 +223,109 @@ class Model:
     def weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
+    def spells(self, raw: str) -> tuple[bool, bool]:
+        """Whether some reading of ``raw`` has a weight, and whether some reading begins what has one.
+
+        Walks the readings of its lattice that begin something with a weight, and no others; what
+        decoding gives is one of all readings, so without either it need not be tried.
+        """
+        open_, sure = {""}, False
+        for ways in lattice(raw):
+            open_ = {s + letter for s in open_ for letter, _ in ways if not letter or s + letter in self.begins}
+            sure = sure or any(s + "~" in self.weights for s in open_)
+            if not open_:
+                break
+        return sure or any(s in self.weights for s in open_), bool(open_)
+
+    def _start(self, token: str) -> str:
+        """``token`` without marks around it if a word in pieces may begin with it, else nothing.
+
+        A mark after it, as at the end of a sentence, ends the word.
+        """
+        first = token.lstrip(_EDGES)
+        if first != first.rstrip(_EDGES):
+            return ""
+        if first in self.begins:
+            return first
+        if first.isalpha() or not any(c.isalpha() for c in first):
+            return ""
+        return first if any(self.spells(first)) else ""
+
     def joined(self, text: str | None) -> Counter:
         """Words with a weight that were written in pieces ('stu pid', 'id i0t').
 
         Neighbouring tokens are put together for as long as they begin something with a
-        weight. What then weighs more than any of its pieces is decoded as one lattice in
-        which each gap is nothing or the end of a word; it counts if the word comes out whole.
+        weight; a mark such as a comma after a piece ends the word. What then weighs more than any
+        of its pieces is decoded as one lattice in which each gap is nothing or the end of a
+        word; it counts if the word comes out whole.
         """
         out: Counter = Counter()
         tokens = text.lower().split() if text else []
-        for i in range(len(tokens) - 1):
-            first = tokens[i].lstrip(_EDGES)
-            if first not in self.begins and (first.isalpha() or not any(x in self.begins for x in LEET.get(first[:1], first[:1])) or not any(
-                    c.isalpha() for c in first)):
+        starts = self.starts
+        for token in [t for t in set(tokens) if t not in starts]:
+            if len(starts) >= REMEMBERED:
+                starts.clear()
+            starts[token] = self._start(token)
+        for i, first in enumerate([starts.get(t) for t in tokens[:-1]]):
+            if first is None:  # forgotten since
+                first = self._start(tokens[i])
+            if not first:
                 continue
-            run, j, found = first, i + 1, ""
+            run, raw, j, found = first, first, i + 1, ""
             while j < len(tokens):
                 piece = tokens[j].strip(_EDGES)
-                raw = run.replace(" ", "")
                 if not piece or raw.isalpha() and not any(raw + x in self.begins for x in LEET.get(piece[0], piece[0])):
                     break
-                run += " " + piece
-                word, more = self._join(run)
+                run, raw = run + " " + piece, raw + piece
+                word, more = self._join(run, raw)
                 found = word or found
-                if not more:
+                if not more or tokens[j][-1] in _EDGES:
                     break
                 j += 1
             if found:
                 out[found] += 1
         return out
 
-    def _join(self, run: str) -> tuple[str, bool]:
+    def _join(self, run: str, raw: str) -> tuple[str, bool]:
         """The word of a weight that the pieces of ``run`` are, or nothing; and whether it may go on."""
         got = self.joins.get(run)
         if got is None:
-            pieces = run.split(" ")
-            raw = "".join(pieces)
-            plain = raw.isalpha()
-            word = raw if plain else decode(self.chars, raw) if disguised(raw) else ""
-            alone = max(self.weight(p if p.isalpha() else decode(self.chars, p)) for p in pieces) if word else 0.0
-            whole = bool(word) and self.weight(word) > alone and word in decode(self.chars, run, PIECES).split()
+            if raw.isalpha():
+                word = raw
+            else:
+                word = decode(self.chars, raw) if any(self.spells(raw)) and disguised(raw) else ""
+            weight = self.weight(word) if word else 0.0
+            whole = weight > 0.0 and weight > max(
+                self.weight(p if p.isalpha() else decode(self.chars, p)) for p in run.split(" ")) and word in decode(self.chars, run, PIECES).split()
             got = (word if whole else "", word in self.begins)
             if len(self.joins) >= REMEMBERED:
                 self.joins.clear()
             self.joins[run] = got
         return got
 
+    def weighted(self, text: str | None) -> dict[str, float]:
+        """Words with a weight, as written, decoded or put together from pieces."""
+        if not text:
+            return {}
+        low, known = text.lower(), self.known
+        out: dict[str, float] = {}
+        for token in set(low.split()):
+            got = known.get(token)
+            if got is None:
+                got = {w: x for w in token_words(self.chars, token) if (x := self.weight(w)) > 0}
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[token] = got
+            if got:
+                out.update(got)
+        for word in (*spaced_words(self.chars, low), *self.joined(text)):
+            if (x := self.weight(word)) > 0:
+                out[word] = x
+        return out
+
     def strength(self, text: str | None) -> float:
         """Weight of the strongest word and a share of the next; a word weighs as much as its strongest feature."""
-        best = []
-        for w in restored(self.chars, text, self.memory) | self.joined(text):
-            x = self.known.get(w)
-            if x is None:
-                x = self.weight(w)
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[w] = x
-            if x > 0:
-                best.append(x)
-        best.sort(reverse=True)
+        best = sorted(self.weighted(text).values(), reverse=True)
         return float(best[0] + NEXT_SHARE * sum(best[1:1 + NEXT])) if best else 0.0
 
     def score(self, text: str | None) -> float:
@@ -281,8 +337,12 @@ class Model:
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         c: Counter = Counter()
+        tokens: Counter = Counter()
         for t in b["text"]:
-            c.update(_PLAIN.findall(t.lower()))
+            tokens.update(t.lower().split())
+        for token, n in tokens.items():  # words do not reach over blanks
+            for word in _PLAIN.findall(token):
+                c[word] += n
         yield pd.DataFrame(list(trigrams(c).items()), columns=["gram", "n"])
 
 
@@ -351,7 +411,14 @@ def draw_labels(labels: DataFrame, key: str = "doc_id", label: str = "toxic", pe
     return given.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30))
 
 
-def train(labelled: DataFrame, per_class: int = 4000, least_texts: int = 5, texts: DataFrame | None = None) -> Model:
+def class_totals(labels: DataFrame, label: str = "toxic") -> dict[int, int]:
+    """Rows of each class among all labels."""
+    return {r[0]: r[1] for r in labels.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect() if r[0] in (0, 1)}
+
+
+def train(
+    labelled: DataFrame, per_class: int = 4000, least_texts: int = 5, texts: DataFrame | None = None, totals: dict[int, int] | None = None,
+) -> Model:
     """Model from (text, toxic) rows with both given.
 
     The character model counts the words of all ``texts`` (of the labelled rows if not
@@ -359,7 +426,9 @@ def train(labelled: DataFrame, per_class: int = 4000, least_texts: int = 5, text
     texts of each class, drawn by a hash of the text; a text with both labels counts in
     both. They are smoothed log odds of features in at
     least ``least_texts`` texts. One half of the sample (by hash) gives the weights, the
-    other the calibration; weights are then counted again over both. Without both classes
+    other the calibration, in which each class counts with its share of ``totals`` (rows of each
+    class among all labels; of ``labelled`` if not given), so scores do not depend on how many
+    rows of a class were drawn; weights are then counted again over both. Without both classes
     every score is the share of toxic rows (0.5 without rows).
     """
     given = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -388,9 +457,10 @@ def train(labelled: DataFrame, per_class: int = 4000, least_texts: int = 5, text
     strength = _strengths(sc.broadcast(first))
     points = counted.filter("half = 1").select("toxic", strength(F.col("text")).alias("x")).toPandas()
     y = points["toxic"].to_numpy(dtype=np.float64)
-    scale = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum())) / (n0 + n1) * len(y)
+    all0, all1 = (totals or {}).get(0, n0), (totals or {}).get(1, n1)
+    scale = np.where(y == 1, all1 / max(1, (y == 1).sum()), all0 / max(1, (y == 0).sum())) / (all0 + all1) * len(y)
     slope, offset = fit_logistic(points["x"].to_numpy(dtype=np.float64), y, scale)
-    return Model(chars, weigh(counted), slope, offset, n1 / (n0 + n1))
+    return Model(chars, weigh(counted), slope, offset, all1 / (all0 + all1))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
