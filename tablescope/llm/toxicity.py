@@ -432,8 +432,8 @@ def train(
     every score is the share of toxic rows (0.5 without rows).
     """
     given = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"))
-    totals = {r[0]: r[1] for r in given.groupBy("toxic").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    drawn = class_totals(given)
+    n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
     if not n0 or not n1:
         return Model(CharModel({}, {}, {}), {}, 0.0, 0.0, n1 / (n0 + n1) if n0 + n1 else 0.5)
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / n1))).otherwise(F.lit(min(1.0, per_class / n0)))
