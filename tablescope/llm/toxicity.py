@@ -29,6 +29,8 @@ DISGUISED, REPEATED, SEPARATED = math.log(0.05), math.log(0.1), math.log(0.3)
 SPACED, PIECES = (SEPARATED, math.log(0.1)), (math.log(0.1), math.log(0.9))
 #: States kept per step of the decoder.
 BEAM = 64
+#: Parts of the sample; each is calibrated with weights from the others.
+FOLDS = 4
 #: Prefix lengths of the features besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Restored tokens remembered in a task.
@@ -359,18 +361,19 @@ def _features(shipped: Broadcast) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chars, memory = shipped.value, {}
         for b in batches:
-            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for t, y in zip(b["text"], b["toxic"]):
-                counts[int(y)].update({f for w in restored(chars, t, memory) for f in features(w)})
-            yield pd.DataFrame([(f, y, n) for y, c in counts.items() for f, n in c.items()], columns=["feature", "toxic", "n"])
+            counts: dict[tuple[int, int], Counter] = {}
+            for t, y, fold in zip(b["text"], b["toxic"], b["fold"]):
+                counts.setdefault((int(y), int(fold)), Counter()).update({f for w in restored(chars, t, memory) for f in features(w)})
+            yield pd.DataFrame([(f, *at, n) for at, c in counts.items() for f, n in c.items()], columns=["feature", "toxic", "fold", "n"])
 
     return run
 
 
-def _strengths(shipped: Broadcast) -> Callable[[Column], Column]:
+def _strengths(shipped: Broadcast) -> Callable[[Column, Column], Column]:
+    """Strength of each text under the model of its fold."""
     @F.pandas_udf("double")
-    def strength(texts: pd.Series) -> pd.Series:
-        return pd.Series([shipped.value.strength(t) for t in texts], dtype="float64")
+    def strength(texts: pd.Series, folds: pd.Series) -> pd.Series:
+        return pd.Series([shipped.value[f].strength(t) for t, f in zip(texts, folds)], dtype="float64")
 
     return strength
 
@@ -425,11 +428,10 @@ def train(
     given) as written. Weights are fitted on a bounded sample: about ``per_class`` distinct
     texts of each class, drawn by a hash of the text; a text with both labels counts in
     both. They are smoothed log odds of features in at
-    least ``least_texts`` texts. One half of the sample (by hash) gives the weights, the
-    other the calibration, in which each class counts with its share of ``totals`` (rows of each
-    class among all labels; of ``labelled`` if not given), so scores do not depend on how many
-    rows of a class were drawn; weights are then counted again over both. Without both classes
-    every score is the share of toxic rows (0.5 without rows).
+    least ``least_texts`` texts. For the calibration each text is judged by weights from the
+    other folds of the sample (by hash), and each class counts with its share of ``totals`` (rows
+    of each class among all labels; of ``labelled`` if not given), so scores do not depend on how
+    many rows of a class were drawn. Without both classes every score is the share of toxic rows (0.5 without rows).
     """
     given = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"))
     drawn = class_totals(given)
@@ -440,27 +442,30 @@ def train(
     sample = materialize(given.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).distinct().repartition(32))
     sc = labelled.sparkSession.sparkContext
     chars = count_letters(given if texts is None else texts)
-    half = F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2))
-    counted = materialize(sample.withColumn("half", half))
-    shipped = sc.broadcast(chars)
-
-    def weigh(part: DataFrame) -> dict[str, float]:
-        sizes = {r[0]: r[1] for r in part.groupBy("toxic").count().collect()}
-        t0, t1 = sizes.get(0, 0) + 1.0, sizes.get(1, 0) + 1.0
-        rows = part.select("text", "toxic").mapInPandas(_features(shipped), "feature string, toxic int, n long").groupBy("feature").agg(
-            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        ).filter(F.col("bad") >= least_texts).toPandas()
-        odds = np.log((rows["bad"] + 0.1) / t1) - np.log((rows["clean"] + 1.0) / t0)
-        return {f: float(x) for f, x in zip(rows["feature"], odds) if x > 1.0}
-
-    first = Model(chars, weigh(counted.filter("half = 0")), 0.0, 0.0, 0.5)
-    strength = _strengths(sc.broadcast(first))
-    points = counted.filter("half = 1").select("toxic", strength(F.col("text")).alias("x")).toPandas()
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    counted = materialize(sample.withColumn("fold", fold))
+    sizes = {(r[0], r[1]): r[2] for r in counted.groupBy("toxic", "fold").count().collect()}
+    cells = [(y, k) for y in (0, 1) for k in range(FOLDS)]
+    table = counted.mapInPandas(_features(sc.broadcast(chars)), "feature string, toxic int, fold int, n long").groupBy("feature").agg(
+        *[F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}_{k}") for y, k in cells],
+        F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("bad"),
+    ).filter(F.col("bad") >= least_texts).toPandas()
+
+    def weigh(without: int | None) -> dict[str, float]:
+        """Smoothed log odds from all folds but one; what is smoothed or demanded shrinks with the share of texts."""
+        folds, part = [k for k in range(FOLDS) if k != without], 1.0 if without is None else 1 - 1 / FOLDS
+        clean, bad = (table[[f"n{y}_{k}" for k in folds]].sum(axis=1) for y in (0, 1))
+        t0, t1 = (sum(sizes.get((y, k), 0) for k in folds) + part for y in (0, 1))
+        odds = np.log((bad + 0.1 * part) / t1) - np.log((clean + part) / t0)
+        return {f: float(x) for f, x, n in zip(table["feature"], odds, bad) if x > 1.0 and n >= least_texts * part}
+
+    strength = _strengths(sc.broadcast([Model(chars, weigh(k), 0.0, 0.0, 0.5) for k in range(FOLDS)]))
+    points = counted.select("toxic", strength(F.col("text"), F.col("fold")).alias("x")).toPandas()
     y = points["toxic"].to_numpy(dtype=np.float64)
     all0, all1 = (totals or {}).get(0, n0), (totals or {}).get(1, n1)
     scale = np.where(y == 1, all1 / max(1, (y == 1).sum()), all0 / max(1, (y == 0).sum())) / (all0 + all1) * len(y)
     slope, offset = fit_logistic(points["x"].to_numpy(dtype=np.float64), y, scale)
-    return Model(chars, weigh(counted), slope, offset, all1 / (all0 + all1))
+    return Model(chars, weigh(None), slope, offset, all1 / (all0 + all1))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
