@@ -42,6 +42,7 @@ _TOKEN = re.compile(r"\S+")
 _PLAIN = re.compile(r"[^\W\d_]+")
 #: Letters or their disguises one by one, with single separators between.
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*])(?:[ ._\-*]{1,2}(?:[^\W_]|[@$!|+(€£¡*])){2,}(?!\S)")
+_THRICE = re.compile(r"(.)\1\1", re.DOTALL)
 _EDGES = ".,;:?\"'()[]{}<>«»„“”…"
 
 
@@ -150,7 +151,7 @@ def disguised(token: str) -> bool:
     """Whether a lower-case token has letters and something to decode."""
     inner = token.strip(_EDGES)
     if inner.isalpha():
-        return any(inner[i] == inner[i + 1] == inner[i + 2] for i in range(len(inner) - 2))
+        return _THRICE.search(inner) is not None
     letters = sum(c.isalpha() for c in inner)
     return letters >= 1 and all(c.isalpha() or c in LEET or c in "._-" for c in inner) and (
         letters + sum(c in LEET for c in inner) >= 3)
@@ -189,9 +190,13 @@ def token_words(model: CharModel, token: str) -> tuple[str, ...]:
     return (*plain, *(w for w in _PLAIN.findall(word) if w not in plain))
 
 
-def spaced_words(model: CharModel, low: str) -> Iterator[str]:
-    """Words written letter by letter in a lower-case text: each run as words, and besides as one word."""
+def spaced_words(model: CharModel, low: str, tried: Callable[[str], bool] | None = None) -> Iterator[str]:
+    """Words written letter by letter in a lower-case text: each run as words, and besides as one word.
+
+    ``tried`` says which runs are worth decoding."""
     for m in _SPACED.finditer(low):
+        if tried and not tried(m.group()):
+            continue
         words = decode(model, m.group(), SPACED).split()
         for word in {*words, *([decode(model, m.group())] if len(words) > 1 else [])}:
             if len(word) >= 3:
@@ -203,6 +208,16 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in PREFIXES if len(word) >= n)]
 
 
+class _Any:
+    """Holds every character."""
+
+    def __contains__(self, character: str) -> bool:
+        return True
+
+
+_ANY = _Any()
+
+
 @dataclass
 class Model:
     """Character model, feature weights (log odds) and the calibration of the text score."""
@@ -221,21 +236,33 @@ class Model:
         whole = {f.rstrip("~") for f in self.weights}
         #: Beginnings of what has a weight: where a word in pieces may go on.
         self.begins = {w[:n] for w in whole for n in range(1, len(w) + 1)}
+        #: What each beginning may grow to by one letter.
+        self.grown: dict[str, list[str]] = {}
+        for b in self.begins:
+            self.grown.setdefault(b[:-1], []).append(b)
+        #: Beginnings that have a weight themselves.
+        self.marks = {f[:-1] for f in self.weights if f.endswith("~")}
 
     def weight(self, word: str) -> float:
+        if word[:PREFIXES[0]] not in self.begins:  # nothing with a weight begins like this
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def spells(self, raw: str) -> tuple[bool, bool]:
+    def spells(self, raw: str, gaps: tuple[float, float] | None = None) -> tuple[bool, bool]:
         """Whether some reading of ``raw`` has a weight, and whether some reading begins what has one.
 
-        Walks the readings of its lattice that begin something with a weight, and no others; what
-        decoding gives is one of all readings, so without either it need not be tried.
+        Walks the readings of its lattice that begin something with a weight, and no others (with
+        ``gaps`` a word may begin after each); what decoding gives is one of all readings, so
+        without either it need not be tried.
         """
         open_, sure = {""}, False
-        for ways in lattice(raw):
-            open_ = {s + letter for s in open_ for letter, _ in ways if not letter or s + letter in self.begins}
-            sure = sure or any(s + "~" in self.weights for s in open_)
-            if not open_:
+        for ways in lattice(raw, gaps):
+            step = {s + letter for s in open_ for letter, _ in ways if letter != " " and (not letter or s + letter in self.begins)}
+            sure = sure or any(s in self.marks or gaps and s in self.weights for s in step)
+            if gaps and any(letter == " " for letter, _ in ways):
+                step.add("")
+            open_ = step
+            if not open_ and not gaps:
                 break
         return sure or any(s in self.weights for s in open_), bool(open_)
 
@@ -253,6 +280,16 @@ class Model:
             return ""
         return first if any(self.spells(first)) else ""
 
+    def _opening(self, token: str) -> tuple[str, frozenset[str] | _Any]:
+        """What ``_start`` says, and the characters with which the next token may go on."""
+        first = self._start(token)
+        if not first:
+            return "", frozenset()
+        if not first.isalpha():
+            return first, _ANY
+        letters = {b[len(first)] for b in self.grown.get(first, ())}
+        return first, frozenset(letters | {c for c, ways in LEET.items() if letters & set(ways)} | set(_EDGES))
+
     def joined(self, text: str | None) -> Counter:
         """Words with a weight that were written in pieces ('stu pid', 'id i0t').
 
@@ -263,21 +300,27 @@ class Model:
         """
         out: Counter = Counter()
         tokens = text.lower().split() if text else []
-        starts = self.starts
-        for token in [t for t in set(tokens) if t not in starts]:
+        starts, begins, marks, least = self.starts, self.begins, self.marks, PREFIXES[0]
+        distinct = set(tokens)
+        for token in [t for t in distinct if t not in starts]:
             if len(starts) >= REMEMBERED:
                 starts.clear()
-            starts[token] = self._start(token)
-        for i, first in enumerate([starts.get(t) for t in tokens[:-1]]):
-            if first is None:  # forgotten since
-                first = self._start(tokens[i])
-            if not first:
-                continue
+            starts[token] = self._opening(token)
+        known = {t: starts[t] if t in starts else self._opening(t) for t in distinct}
+        for i in [i for i, (t, following) in enumerate(zip(tokens, tokens[1:])) if following[0] in known[t][1]]:
+            first = known[tokens[i]][0]
             run, raw, j, found = first, first, i + 1, ""
             while j < len(tokens):
                 piece = tokens[j].strip(_EDGES)
-                if not piece or raw.isalpha() and not any(raw + x in self.begins for x in LEET.get(piece[0], piece[0])):
+                if not piece:
                     break
+                if raw.isalpha():
+                    if piece.isalpha():
+                        whole = raw + piece
+                        if whole[:least] not in begins or raw + piece[0] not in begins or not (whole in begins or any(whole[:n] in marks for n in PREFIXES)):
+                            break
+                    elif not any(raw + x in begins for x in LEET.get(piece[0], piece[0])):
+                        break
                 run, raw = run + " " + piece, raw + piece
                 word, more = self._join(run, raw)
                 found = word or found
@@ -305,6 +348,12 @@ class Model:
             self.joins[run] = got
         return got
 
+    def _words(self, token: str) -> tuple[str, ...]:
+        """Words of a token that may have a weight: decoding is tried only where some reading has one."""
+        if disguised(token) and self.spells(token.strip(_EDGES))[0]:
+            return token_words(self.chars, token)
+        return (token,) if token.isalpha() else tuple(_PLAIN.findall(token))
+
     def weighted(self, text: str | None) -> dict[str, float]:
         """Words with a weight, as written, decoded or put together from pieces."""
         if not text:
@@ -314,13 +363,13 @@ class Model:
         for token in set(low.split()):
             got = known.get(token)
             if got is None:
-                got = {w: x for w in token_words(self.chars, token) if (x := self.weight(w)) > 0}
+                got = {w: x for w in self._words(token) if (x := self.weight(w)) > 0}
                 if len(known) >= REMEMBERED:
                     known.clear()
                 known[token] = got
             if got:
                 out.update(got)
-        for word in (*spaced_words(self.chars, low), *self.joined(text)):
+        for word in (*spaced_words(self.chars, low, lambda run: self.spells(run, SPACED)[0]), *self.joined(text)):
             if (x := self.weight(word)) > 0:
                 out[word] = x
         return out
