@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablescope.catalog import read
 from tablescope.functions import dates as D
 from tablescope.functions import numeric as N
+from tablescope.functions import reference as E
 from tablescope.functions import text as X
 from tablescope.functions import volatile as V
 from tablescope.operators import lineage as G
@@ -175,7 +176,39 @@ def _size():
 _WEEKDAYS = """(SELECT CASE WHEN good <= oday THEN count(*) ELSE -count(*) END FROM range(0, abs(date_diff('day', good, oday)) + 1) r(i)
     WHERE isodow(least(good, oday) + i::INT) < 6)"""
 
+_MONTHS = "((year(b) - year(a)) * 12 + month(b) - month(a) - (day(b) < day(a))::INT)"
+_DATEDIF = {
+    "y": f"{_MONTHS} // 12", "m": _MONTHS, "d": "date_diff('day', a, b)", "ym": f"{_MONTHS} % 12",
+    "md": "CASE WHEN day(b) >= day(a) THEN day(b) - day(a) ELSE date_diff('day', ((date_trunc('month', b) - INTERVAL 1 MONTH)::DATE + (day(a) - 1)::INT)::DATE, b) END",
+    "yd": f"date_diff('day', make_date(year(a) + {_MONTHS} // 12, month(a), 1) + (day(a) - 1)::INT, b)",
+}
+
+
+def _datedif(s, d):
+    """From ISO text, broken now and then, to a day up to four years before or after."""
+    rows = _dated(s, d).select("o_orderkey", "iso", (C("num") + C("o_orderkey") % 2900 - 1400).alias("end"))
+    return rows.select("o_orderkey", *[E.datedif(C("iso"), C("end"), u.upper()).alias(u) for u in _DATEDIF], E.datedif_err(C("iso"), C("end"), "Y").alias("error"))
+
+
+_DATEDIF_SQL = f"""
+    WITH x AS (SELECT o_orderkey, good AS a, (day + (o_orderkey % 2900 - 1400)::INT)::DATE AS b FROM {_DATED_SQL})
+    SELECT o_orderkey, {", ".join(f"CASE WHEN b >= a THEN ({v})::BIGINT END AS {u}" for u, v in _DATEDIF.items())}, CASE WHEN b >= a THEN NULL ELSE '#VALUE!' END AS error FROM x"""
+
+
+def _choose(s, d):
+    k = C("o_orderkey")
+    at = F.when(k % 7 == 0, L("x")).otherwise((k % 6 + 0.7).cast("string"))
+    values = (C("o_orderstatus"), C("o_orderpriority"), L("third"), C("o_custkey").cast("string"))
+    return read(s, d, "orders").select("o_orderkey", E.choose(at, *values).alias("result"), E.choose_err(at, *values).alias("error"))
+
+
+_CHOOSE_SQL = """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CASE o_orderkey % 6 WHEN 1 THEN o_orderstatus WHEN 2 THEN o_orderpriority WHEN 3 THEN 'third' WHEN 4 THEN o_custkey::VARCHAR END END AS result,
+           CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 6 NOT BETWEEN 1 AND 4 THEN '#VALUE!' END AS error FROM orders"""
+
 QUERIES = dict([
+    ("f_datedif", (_datedif, _DATEDIF_SQL)),
+    ("f_choose", (_choose, _CHOOSE_SQL)),
     _numbers("f_plus", lambda: F.round(N.plus(C("a"), C("b")), 4), f"round({_A} + {_B}, 4)"),
     _numbers("f_minus", lambda: F.round(N.minus(C("a"), C("c")), 4), f"round({_A} - {_Cn}, 4)"),
     _numbers("f_times", lambda: F.round(N.times(C("b"), C("z")), 4) + 0.0, f"round({_B} * {_Z}, 4) + 0.0"),

@@ -6,8 +6,10 @@ from tablescope.catalog import read
 from tablescope.functions.values import canon_str, json_safe, to_numeric
 from tablescope.operators import lookup as L
 from tablescope.operators import noise as N
+from tablescope.operators import ranges as O
 from tablescope.operators import rows as R
 from tablescope.operators.ordering import with_row_id
+from tablescope.sources.tables import json_rows
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 _LINE_KEY_SQL = ", ".join(LINE_KEY)
@@ -57,6 +59,101 @@ _EDITS_SQL = """
     UNION ALL SELECT p_partkey + 100000000, 'new ' || p_name, NULL, NULL FROM part WHERE p_partkey % 50 = 7"""
 
 
+def _ordered_log(s, d):
+    """Several edits of one cell, of a deleted row, of a row inserted again, of one inserted twice and of new rows."""
+    k = F.col("_row_id")
+    base = read(s, d, "part").select(F.col("p_partkey").alias("_row_id"))
+    plans = {
+        0: [("set", "p_size", "1"), ("set", "p_size", "2"), ("clear", "p_size", None), ("set", "p_size", "7")],
+        1: [("set", "p_name", "x"), ("set", "p_size", "9"), ("clear", "p_name", None)],
+        2: [("set", "p_size", "8"), ("delete", None, None), ("set", "p_size", "4"), ("insert", None, None), ("set", "p_name", "back"), ("set", "p_size", "bad")],
+        3: [("set", "p_size", "5"), ("delete", None, None), ("set", "p_size", "6")],
+        4: [("set", "p_name", "early"), ("insert", None, None), ("insert", None, None), ("set", "p_size", "9")],
+        5: [("delete", None, None), ("insert", None, None), ("set", "p_name", "y"), ("delete", None, None)],
+    }
+    fresh = [("set", "p_name", "too early"), ("insert", None, None), ("set", "p_size", "3"), ("set", "p_size", "30")]
+
+    def log(rows, plan):
+        steps = [F.struct(F.lit(n).alias("seq"), F.lit(o).alias("op"), F.lit(c).cast("string").alias("column"), F.lit(v).cast("string").alias("value")) for n, (o, c, v) in enumerate(plan)]
+        return rows.select("_row_id", F.inline(F.array(*steps)))
+
+    out = log(base.filter(k % 50 == 7).withColumn("_row_id", k + 100_000_000), fresh)
+    for rest, plan in plans.items():
+        out = out.unionByName(log(base.filter(k % 7 == rest), plan))
+    return out
+
+
+def _apply_ordered(s, d):
+    rows = read(s, d, "part").select(F.col("p_partkey").alias("_row_id"), "p_name", "p_size", "p_retailprice")
+    return R.apply_edits(rows, _ordered_log(s, d), sequence="seq")
+
+
+_ORDERED_SQL = """
+    SELECT p_partkey AS _row_id, CASE p_partkey % 7 WHEN 1 THEN NULL WHEN 2 THEN 'back' WHEN 4 THEN 'early' ELSE p_name END AS p_name,
+           CASE p_partkey % 7 WHEN 0 THEN 7 WHEN 1 THEN 9 WHEN 2 THEN NULL WHEN 4 THEN 9 ELSE p_size END AS p_size, CASE WHEN p_partkey % 7 <> 2 THEN p_retailprice END AS p_retailprice
+    FROM part WHERE p_partkey % 7 NOT IN (3, 5)
+    UNION ALL SELECT p_partkey + 100000000, NULL, 30, NULL FROM part WHERE p_partkey % 50 = 7"""
+
+
+def _hlookup(s, d):
+    """A table whose first row names its columns: key, row index and hits vary with the order."""
+    table = _numbered_part(s, d).select("_row_id", "p_name", "p_size", F.col("p_retailprice").cast("int").cast("string").alias("price"))
+    head = table.limit(1).select(F.lit(0).cast("bigint").alias("_row_id"), F.lit("name").alias("p_name"), F.lit(1).alias("p_size"), F.lit("2.5").alias("price"))
+    named = head.unionByName(table).withColumn("_row_id", F.col("_row_id") + 1)
+    k = F.col("o_orderkey")
+    asked = read(s, d, "orders").select(
+        "o_orderkey", F.element_at(F.array(F.lit("name"), F.lit("1"), F.lit("2.5"), F.lit("none")), (k % 4 + 1).cast("int")).alias("k"),
+        F.when(k % 13 == 0, F.lit("x")).when(k % 17 == 0, F.lit("0")).otherwise((F.col("o_custkey") + 0.5).cast("string")).alias("r"))
+    return L.hlookup(asked, "k", named, F.col("r")).select("o_orderkey", "hlookup", "hlookup_err")
+
+
+_HLOOKUP_SQL = """
+    WITH t AS (SELECT row_number() OVER (ORDER BY p_partkey) + 1 AS r, p_name, p_size::VARCHAR AS p_size, trunc(p_retailprice)::INT::VARCHAR AS price FROM part
+               UNION ALL SELECT 1, 'name', '1', '2.5'),
+    a AS (SELECT o_orderkey, o_orderkey % 4 AS c, CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN NULL WHEN o_custkey >= 1 THEN o_custkey END AS r FROM orders)
+    SELECT o_orderkey, CASE WHEN a.r IS NOT NULL AND t.r IS NOT NULL THEN CASE c WHEN 0 THEN p_name WHEN 1 THEN p_size WHEN 2 THEN price END END AS hlookup,
+           CASE WHEN a.r IS NULL THEN '#VALUE!' WHEN c = 3 THEN '#N/A' WHEN t.r IS NULL THEN '#REF!' END AS hlookup_err FROM a LEFT JOIN t ON t.r = a.r"""
+
+
+def _offset_table(s, d):
+    return _numbered_part(s, d).select("_row_id", "p_size", "p_name", F.floor("p_retailprice").cast("double").alias("price"))
+
+
+def _offset(s, d):
+    k = F.col("o_orderkey")
+    asked = read(s, d, "orders").select("o_orderkey", "o_custkey")
+    down = F.when(k % 19 == 0, F.lit("x")).otherwise((k % 5 - 3).cast("string"))
+    return O.offset_cell(asked, _offset_table(s, d), F.col("o_custkey"), F.lit(1), down, k % 4).select("o_orderkey", "offset", "offset_err")
+
+
+_OFFSET_SQL = """
+    WITH t AS (SELECT row_number() OVER (ORDER BY p_partkey) AS r, p_size::VARCHAR AS a, p_name AS b, printf('%.1f', floor(p_retailprice)) AS c FROM part),
+    q AS (SELECT o_orderkey, o_orderkey % 19 = 0 AS bad, o_custkey + o_orderkey % 5 - 3 AS r, o_orderkey % 4 AS c FROM orders)
+    SELECT o_orderkey, CASE WHEN NOT bad THEN CASE q.c WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN t.c END END AS "offset",
+           CASE WHEN bad THEN '#VALUE!' WHEN t.r IS NULL OR q.c = 3 THEN '#REF!' END AS offset_err FROM q LEFT JOIN t ON t.r = q.r"""
+
+
+def _offset_range(s, d, how):
+    """Ranges of up to all rows, upward ones too, that begin inside or outside the table."""
+    k = F.col("o_orderkey")
+    asked = read(s, d, "orders").select("o_orderkey", "o_custkey")
+    height = F.when(k % 23 == 0, 0).when(k % 3 == 0, -(k % 40)).otherwise(k * 7 % 2500 + 1)
+    out = O.offset_range(asked, _offset_table(s, d), "o_orderkey", F.col("o_custkey"), F.lit(1), F.lit(-10), k % 2, height, k % 3 + 1, how)
+    return out.select("o_orderkey", F.round("offset", 6).alias("offset"), "offset_err")
+
+
+def _offset_range_sql(how):
+    return f"""
+    WITH t AS (SELECT row_number() OVER (ORDER BY p_partkey) AS r, p_size::DOUBLE AS a, floor(p_retailprice)::DOUBLE AS c FROM part),
+    v AS (SELECT r, 1 AS c, a AS x FROM t UNION ALL SELECT r, 3, c FROM t),
+    h AS (SELECT o_orderkey, o_custkey - 10 AS r, 1 + o_orderkey % 2 AS c1, o_orderkey % 3 + 1 AS w,
+                 CASE WHEN o_orderkey % 23 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN -(o_orderkey % 40) ELSE o_orderkey * 7 % 2500 + 1 END AS h FROM orders),
+    q AS (SELECT *, CASE WHEN h < 0 THEN r + h + 1 ELSE r END AS r1, abs(h) AS n FROM h),
+    g AS (SELECT o_orderkey, {how} AS x FROM q JOIN v ON v.r BETWEEN q.r1 AND q.r1 + q.n - 1 AND v.c BETWEEN c1 AND c1 + w - 1 WHERE r1 >= 1 AND h <> 0 GROUP BY 1)
+    SELECT o_orderkey, CASE WHEN h <> 0 AND r1 >= 1 THEN round(coalesce(g.x, 0), 6)::DOUBLE END AS "offset", CASE WHEN h = 0 OR r1 < 1 THEN '#REF!' END AS offset_err
+    FROM q LEFT JOIN g USING (o_orderkey)"""
+
+
 def _chart(s, d):
     rows = with_row_id(read(s, d, "orders"), ["o_orderkey"]).select(
         "_row_id", "o_orderstatus",
@@ -224,6 +321,20 @@ QUERIES = {
         "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS priority, CAST(r AS VARCHAR) AS _row_id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r BETWEEN 41 AND 140",
     ),
     "apply_edits": (_apply_edits, _EDITS_SQL),
+    "apply_edits_ordered": (_apply_ordered, _ORDERED_SQL),
+    "hlookup": (_hlookup, _HLOOKUP_SQL),
+    "offset_cell": (_offset, _OFFSET_SQL),
+    "offset_sum": (lambda s, d: _offset_range(s, d, "sum"), _offset_range_sql("sum(x)")),
+    "offset_max": (lambda s, d: _offset_range(s, d, "max"), _offset_range_sql("max(x)")),
+    "offset_average": (lambda s, d: _offset_range(s, d, "average"), _offset_range_sql("avg(x)")),
+    "json_rows": (
+        lambda s, d: json_rows(read(s, d, "events").select("event_id", F.to_json(F.struct("user_id", "event_type", F.round("value", 2).alias("value"))).alias("body")), "body", "user_id long, event_type string, value double, absent string"),
+        "SELECT event_id, user_id, event_type, round(value, 2) AS value, NULL::VARCHAR AS absent FROM events",
+    ),
+    "low_importance": (
+        lambda s, d: R.low_importance(read(s, d, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg(F.col("p_size") / 50).alias("score")), 0.5, ["Brand#11"]).select("feature", F.round("score", 9).alias("score")),
+        "SELECT p_brand AS feature, round(avg(p_size / 50.0::DOUBLE), 9) AS score FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1 HAVING avg(p_size / 50.0::DOUBLE) <= 0.5",
+    ),
     "chart_series": (
         _chart,
         "SELECT r AS row, o_totalprice AS x, o_custkey::DOUBLE AS y FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE o_orderkey % 7 <> 0 AND o_custkey % 5 <> 0",

@@ -106,3 +106,30 @@ def predict_lookup(
     return found.withColumns({
         out: F.col("_kept.v"), f"{out}_err": F.when(F.col("_key").isNull(), F.lit(PREDICT_ERROR))
     }).drop("_probe", "_key", "_kept")
+
+
+def hlookup(
+    df: DataFrame, key: str | Column, table: DataFrame, row_index: int | Column, out: str = "hlookup", position: str = "_row_id",
+    lookup_row: int = 1, approximate: bool = False,
+) -> DataFrame:
+    """Adds ``out`` and ``out_err``: the cell in table row ``row_index`` of the first column whose cell in ``lookup_row`` matches the key.
+
+    ``position`` numbers the table's rows from 1; rows are counted from ``lookup_row`` on, as a
+    range that begins there. Cells compare as text and are given as text. ``#VALUE!`` for a row
+    index below 1 or that is no number (it is cut to a whole one), ``#N/A`` for a key that is not
+    there, ``#REF!`` for a row beyond the table. Only the lookup row, as wide as the table, is fetched.
+    """
+    if approximate:
+        return _failed(df, out, UNSUPPORTED)
+    cells = [c for c in table.columns if c != position]
+    heads = table.filter(F.col(position) == lookup_row).select(*[canon_str(F.col(f"`{c}`")).alias(f"h{i}") for i, c in enumerate(cells)]).first()
+    names = F.array(*[F.lit(h) for h in heads]) if heads else F.array().cast("array<string>")
+    key = F.col(f"`{key}`") if isinstance(key, str) else key
+    wanted = F.lit(row_index) if isinstance(row_index, int) else row_index
+    row = wanted.try_cast("double").try_cast("bigint")
+    packed = table.select(F.col(position).cast("bigint").alias("_pos"), F.array(*[F.col(f"`{c}`").cast("string") for c in cells]).alias("_cells"))
+    placed = df.withColumns({"_at": F.array_position(names, canon_str(key)).cast("int"), "_row": F.when(row >= 1, row)})
+    found = placed.join(packed, F.col("_row") + (lookup_row - 1) == F.col("_pos"), "left")
+    error = F.when(F.col("_row").isNull(), F.lit(VALUE_ERROR)).when(F.col("_at") == 0, F.lit(NA_ERROR)).when(F.col("_pos").isNull(), F.lit(REF_ERROR))
+    value = F.when(error.isNull(), F.get(F.col("_cells"), F.col("_at") - 1))
+    return found.withColumns({out: value, f"{out}_err": error}).drop("_at", "_row", "_pos", "_cells")
