@@ -41,7 +41,8 @@ def test_edits_in_order_match_a_replay(spark):
 def test_hlookup(spark):
     table = spark.createDataFrame([(1, "a", 2.0, "a", None), (2, "x", 5.0, "never", "n"), (3, None, 7.5, "never", "m")], "_row_id int, p string, q double, r string, s string")
     asked = spark.createDataFrame([("a", "2"), ("2", "3"), ("a", "3"), ("", "2.9"), ("zz", "2"), ("a", "4"), ("a", "0"), ("a", "w"), (None, "1")], "k string, r string")
-    got = [(r.hlookup, r.hlookup_err) for r in L.hlookup(asked, "k", table, F.col("r")).collect()]
+    numbered = asked.coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    got = [(r.hlookup, r.hlookup_err) for r in L.hlookup(numbered, "k", table, F.col("r")).orderBy("i").collect()]
     assert got == [("x", None), ("7.5", None), (None, None), ("n", None), (None, "#N/A"), (None, "#REF!"), (None, "#VALUE!"), (None, "#VALUE!"), (None, None)]
     assert L.hlookup(asked, "k", table, 2, approximate=True).first()["hlookup_err"] == "#UNSUPPORTED"
     assert L.hlookup(asked.limit(1), "k", table.limit(0), 2).first()["hlookup_err"] == "#N/A"
