@@ -186,7 +186,7 @@ _METRICS_SQL = """
 def _without(s, d):
     """Independent columns: no model should beat the share of the largest class."""
     df = read(s, d, "orders").select("o_orderkey", "o_totalprice", C("o_custkey").cast("double").alias("cust"), "o_orderstatus")
-    out = X.explore(df, Roles(("o_totalprice", "cust"), "o_orderstatus", "o_orderkey"), order_by=["o_orderkey"], trees=5, max_depth=3, rounds=3)
+    out = X.explore(df, Roles(("o_totalprice", "cust"), "o_orderstatus", "o_orderkey"), order_by=["o_orderkey"])
     return out.evaluation.select("target_kind", "signal_strength", "model_viability", "overall_verdict")
 
 
@@ -194,7 +194,7 @@ def _explore(s, d, label, features):
     df = read(s, d, "lineitem").select(
         *KEY, "l_quantity", "l_discount", "l_tax", "l_returnflag", F.when(C("l_quantity") * (1 - C("l_discount")) > 25, L("hi")).otherwise(L("lo")).alias("size"),
     )
-    out = X.explore(df, Roles(features, label), order_by=KEY, trees=10, max_depth=5, rounds=5)
+    out = X.explore(df, Roles(features, label), order_by=KEY)
     return out.evaluation.select("target_kind", "signal_strength", "model_viability", "overall_verdict", F.array_join("risk_flags", ",").alias("risk_flags"))
 
 

@@ -14,8 +14,6 @@ from tablescope.plans.roles import PrepSpec, Roles
 
 C, L = F.col, F.lit
 FEATURES = ("l_quantity", "l_discount", "l_tax", "l_returnflag")
-#: Boosting rounds of the registered queries; forests and all else run with the defaults of the library.
-BOOST = {"rounds": 20}
 
 
 def _lines(s, d):
@@ -43,9 +41,11 @@ def _regress(s, d, algorithm, **params):
 
 
 def _multiclass(s, d, algorithm, **params):
-    """Embedding labels: ten classes in the first eight dimensions."""
-    df = read(s, d, "embeddings").select("vec_id", C("label").cast("string").alias("label"), *[C("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    out = W.fit_supervised(df, Roles(tuple(f"e{i}" for i in range(8)), "label"), PrepSpec(), algorithm, "classification", ["vec_id"], **params)
+    """Embedding labels: ten classes in all dimensions."""
+    vectors = read(s, d, "embeddings")
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    df = vectors.select("vec_id", C("label").cast("string").alias("label"), *[F.get("embedding", L(i)).cast("double").alias(f"e{i}") for i in range(size)])
+    out = W.fit_supervised(df, Roles(tuple(f"e{i}" for i in range(size)), "label"), PrepSpec(), algorithm, "classification", ["vec_id"], **params)
     return out.rows.groupBy("_split_role").agg(
         F.count(L(1)).alias("n"), F.bool_and(C("_prediction_confidence").between(0, 1)).alias("confidence_ok"), F.bool_or(~C("_is_correct")).alias("some_wrong"),
     )
@@ -236,15 +236,15 @@ def _cluster_flow(s, d):
 
 QUERIES = {
     "rf_classify": (lambda s, d: _classify(s, d, "random_forest"), None),
-    "gbt_classify": (lambda s, d: _classify(s, d, "gradient_boosting", **BOOST), None),
+    "gbt_classify": (lambda s, d: _classify(s, d, "gradient_boosting"), None),
     "svm_classify": (lambda s, d: _classify(s, d, "svm"), None),
     "logreg": (lambda s, d: _classify(s, d, "logistic_regression"), None),
     "rf_regress": (lambda s, d: _regress(s, d, "random_forest"), None),
-    "gbt_regress": (lambda s, d: _regress(s, d, "gradient_boosting", **BOOST), None),
+    "gbt_regress": (lambda s, d: _regress(s, d, "gradient_boosting"), None),
     "svm_regress": (lambda s, d: _regress(s, d, "svm"), None),
     "linear_regress": (lambda s, d: _regress(s, d, "linear_regression"), None),
     "rf_multiclass": (lambda s, d: _multiclass(s, d, "random_forest"), None),
-    "gbt_multiclass": (lambda s, d: _multiclass(s, d, "gradient_boosting", rounds=3), None),
+    "gbt_multiclass": (lambda s, d: _multiclass(s, d, "gradient_boosting"), None),
     "linear_regression_1d": (
         _ols,
         "SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem",

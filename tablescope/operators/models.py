@@ -31,6 +31,8 @@ TREES = 100
 MAX_DEPTH = 10
 ROUNDS = 100
 _FOURIER = 64
+# Classes fitted at once where a model knows two only.
+_PARALLEL = 8
 _TREE_LIKE = ("random_forest", "gradient_boosting")
 
 
@@ -62,12 +64,12 @@ def build_estimator(algorithm: str, classification: bool, rows: int, classes: in
         if not classification:
             return GBTRegressor(**rounds, **cols)
         one = GBTClassifier(**rounds, **cols)
-        return one if classes <= 2 else OneVsRest(classifier=one, **{k: v for k, v in cols.items()})
+        return one if classes <= 2 else OneVsRest(classifier=one, parallelism=_PARALLEL, **cols)
     if algorithm == "svm":
         if not classification:
             return LinearRegression(loss="huber", maxIter=50, **{k: v for k, v in cols.items() if k != "weightCol"})
         one = LinearSVC(maxIter=30, regParam=1.0 / max(1, rows), **cols)
-        return one if classes <= 2 else OneVsRest(classifier=one, **cols)
+        return one if classes <= 2 else OneVsRest(classifier=one, parallelism=_PARALLEL, **cols)
     if algorithm == "logistic_regression":
         return LogisticRegression(maxIter=1000, regParam=1.0 / max(1, rows), standardization=False, **cols)
     return LinearRegression(solver="auto", maxIter=100, **cols)
