@@ -218,7 +218,7 @@ def save_model(model: FittedModel, path: str) -> None:
         "algorithm": model.algorithm, "task": model.task, "label": model.label, "classes": model.classes,
         "kernel": asdict(model.kernel) if model.kernel else None, "has_model": model.model is not None,
         "spec": asdict(pre.spec), "preset": pre.preset, "numeric": pre.numeric, "categorical": pre.categorical, "fills": pre.fills,
-        "scales": pre.scales, "codes": {c: {"size": d.size, "values": d.values} for c, d in pre.codes.items()},
+        "scales": pre.scales, "spreads": pre.spreads, "codes": {c: {"size": d.size, "values": d.values} for c, d in pre.codes.items()},
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(os.path.join(path, "meta"))
     if model.model is not None:
@@ -236,7 +236,7 @@ def load_model(spark: SparkSession, path: str) -> FittedModel:
         codes[c] = Dictionary(d["size"], d["values"], table)
     pre = Preprocessor(
         PrepSpec(**meta["spec"]), meta["preset"], meta["numeric"], meta["categorical"], meta["fills"], codes,
-        {c: tuple(s) for c, s in meta["scales"].items()},
+        {c: tuple(s) for c, s in meta["scales"].items()}, meta.get("spreads", {}),
     )
     model = PipelineModel.load(os.path.join(path, "model")).stages[0] if meta["has_model"] else None
     kernel = FourierMap(**meta["kernel"]) if meta["kernel"] else None

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def iqr_filter(df: DataFrame, cols: Sequence[str], mode: str = "prepare") -> Dat
 
 @dataclass
 class Dictionary:
-    """Sorted categories of one column: ``values`` if few, a (value, code) table otherwise."""
+    """Sorted categories of one column: ``values`` if few, a table (value, n, code) with row counts otherwise."""
 
     size: int
     values: list[str] | None = None
@@ -125,7 +126,7 @@ def dictionaries(df: DataFrame, cols: Sequence[str]) -> dict[str, Dictionary]:
     out = {c: Dictionary(len(listed[c]), values=listed[c]) for c in few}
     for c in cols:
         if c not in out:
-            values = counts.filter(F.col("feature") == c).select("value")
+            values = counts.filter(F.col("feature") == c).select("value", "n")
             out[c] = Dictionary(sizes[c], table=_coded(values))
     return out
 
@@ -205,7 +206,11 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "minmax") -> DataFra
 class Preprocessor:
     """Fitted fills, dictionaries and scales.
 
-    ``preset`` "prepare" scales encoded columns too, "workflow" only numeric ones.
+    ``preset`` "prepare" scales encoded columns too, "workflow" only numeric ones. A one-hot
+    column is divided by its spread whatever the number of categories. A small block is also
+    centred; a large one stays sparse, and its zeros are zeros: that is a shift of the whole column,
+    which intercepts, trees, distances between rows and centred projections do not see. (Scaled
+    to [0, 1], a one-hot column stays as it is in both.)
     """
 
     spec: PrepSpec
@@ -215,6 +220,8 @@ class Preprocessor:
     fills: dict[str, float | str]
     codes: dict[str, Dictionary]
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
+    #: Divisors by code of the large one-hot blocks that are scaled.
+    spreads: dict[str, list[float]] = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
@@ -280,6 +287,11 @@ class Preprocessor:
             )
             encoder = OneHotEncoder(inputCols=ins, outputCols=outs, dropLast=True, handleInvalid="keep").fit(sizes)
             matrix = encoder.transform(matrix)
+            for i, c in enumerate(wide):
+                if c in self.spreads:
+                    factors = Vectors.dense([1.0 / w if w else 1.0 for w in self.spreads[c]])
+                    matrix = ElementwiseProduct(scalingVec=factors, inputCol=outs[i], outputCol=f"_oh_scaled{i}").transform(matrix)
+                    outs[i] = f"_oh_scaled{i}"
             inputs = [outs[wide.index(c)] if c in wide else c for c in names]
             built = VectorAssembler(inputCols=inputs, outputCol=out).transform(matrix)
         return built.select(*[F.col(f"_src_{i}").alias(c) for i, c in enumerate(keep)], out)
@@ -299,9 +311,19 @@ def fit_preprocessor(train: DataFrame, features: Sequence[str], spec: PrepSpec,
         encoded = impute(train, {c: fills[c] for c in numeric})
         to_scale = numeric
     fitted.scales = scale_stats(encoded, to_scale, spec.normalization)
+    if preset == "prepare" and spec.normalization == "standard":
+        for c in fitted._wide_onehot():
+            fitted.spreads[c] = _spreads(codes[c])
     return fitted
 
 
+def _spreads(codes: Dictionary) -> list[float]:
+    """Standard deviation of each category's 0/1 column, by code; as many as the matrix has columns."""
+    total = codes.table.agg(F.sum("n")).first()[0]
+    share = F.col("n") / F.lit(float(total))
+    return [r["s"] for r in codes.table.orderBy("code").select(F.sqrt(share * (1 - share)).alias("s")).collect()]
+
+
 def prepare_rows(df: DataFrame, features: Sequence[str], spec: PrepSpec) -> DataFrame:
     """Row filters of the Prepare flow: missing features, then IQR on imputed values."""
     out = drop_missing(df, features) if spec.handle_missing == "drop" else df

@@ -158,6 +158,34 @@ def test_importance_names_every_position(spark, categories):
     assert onehot_rows(rows, ["id"], "cat").agg(F.sum("value")).first()[0] == categories * 12
 
 
+@pytest.mark.parametrize("normalization", ["standard", "minmax"])
+def test_onehot_blocks_are_scaled_alike(spark, normalization):
+    """60 and 70 categories: the same distances between rows, whether the block is stored dense or sparse."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tablescope.operators.prepare import fit_preprocessor
+
+    found = {}
+    for categories in (60, 70):
+        rows = spark.range(2100).select(
+            "id", (F.col("id") % 13 * 1.0).alias("x"), F.concat(F.lit("v"), (F.pmod(F.xxhash64("id"), F.lit(categories * 3)) % categories).cast("string")).alias("c"))
+        assert rows.select("c").distinct().count() == categories
+        spec = PrepSpec(categorical_encoding="onehot", normalization=normalization)
+        pre = fit_preprocessor(rows, ["x", "c"], spec, "prepare")
+        assert bool(pre._wide_onehot()) == (categories == 70)
+        data = pre.vector(rows).select("c", vector_to_array("features").alias("v")).toPandas()
+        share = data["c"].value_counts() / len(data)
+        m = np.array(data["v"].tolist())
+        column = {n: i for i, n in enumerate(pre.positions())}
+        for c in list(share.index)[:8]:
+            jump = m[(data["c"] == c).to_numpy(), column[f"c_{c}"]].mean() - m[(data["c"] != c).to_numpy(), column[f"c_{c}"]].mean()
+            want = 1.0 if normalization == "minmax" else 1 / np.sqrt(share[c] * (1 - share[c]))
+            assert abs(jump - want) < 1e-9
+        found[categories] = m.var(axis=0)[1:]
+    if normalization == "standard":
+        assert all(abs(v - 1).max() < 1e-9 for v in found.values())
+
+
 @pytest.mark.parametrize("labels", [30, 1100])
 def test_confusion_matrix_has_one_contract(spark, labels):
     from tablescope.operators.metrics import confusion_matrix
