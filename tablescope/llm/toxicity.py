@@ -33,8 +33,8 @@ BEAM = 64
 FOLDS = 4
 #: Prefix lengths of the features besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Restored tokens remembered in a task.
-REMEMBERED = 200_000
+#: Restored tokens and joined runs remembered in a task; tokens known to be looked at.
+REMEMBERED, SEEN = 200_000, 500_000
 #: The strongest word of a text counts fully, the next ones count this share each.
 NEXT, NEXT_SHARE = 4, 0.3
 
@@ -63,6 +63,7 @@ class CharModel:
     tri: dict[str, float]
     bi: dict[str, float]
     uni: dict[str, float]
+    logs: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def build(cls, words: dict[str, int]) -> CharModel:
@@ -82,7 +83,14 @@ class CharModel:
                    {g: c / total for g, c in uni.items()})
 
     def log(self, two: str, nxt: str) -> float:
-        return math.log(0.7 * self.tri.get(two + nxt, 0.0) + 0.2 * self.bi.get(two[1] + nxt, 0.0) + 0.0999 * self.uni.get(nxt, 0.0) + 1e-6)
+        gram = two + nxt
+        got = self.logs.get(gram)
+        if got is None:
+            got = math.log(0.7 * self.tri.get(gram, 0.0) + 0.2 * self.bi.get(gram[1:], 0.0) + 0.0999 * self.uni.get(nxt, 0.0) + 1e-6)
+            if len(self.logs) >= REMEMBERED:
+                self.logs.clear()
+            self.logs[gram] = got
+        return got
 
 
 def lattice(token: str, gaps: tuple[float, float] | None = None) -> list[list[tuple[str, float]]]:
@@ -231,6 +239,7 @@ class Model:
     known: dict = field(default_factory=dict)
     joins: dict = field(default_factory=dict)
     starts: dict = field(default_factory=dict)
+    seen: set = field(default_factory=set)
 
     def __post_init__(self) -> None:
         whole = {f.rstrip("~") for f in self.weights}
@@ -244,9 +253,17 @@ class Model:
         self.marks = {f[:-1] for f in self.weights if f.endswith("~")}
 
     def weight(self, word: str) -> float:
-        if word[:PREFIXES[0]] not in self.begins:  # nothing with a weight begins like this
+        """Of the strongest feature; no longer beginning is looked at once nothing with a weight begins like it."""
+        begins, weights = self.begins, self.weights
+        if word[:PREFIXES[0]] not in begins:
             return 0.0
-        return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+        best = weights.get(word, 0.0)
+        for n in PREFIXES:
+            start = word[:n]
+            if len(start) < n or start not in begins:
+                break
+            best = max(best, weights.get(start + "~", 0.0))
+        return best
 
     def spells(self, raw: str, gaps: tuple[float, float] | None = None) -> tuple[bool, bool]:
         """Whether some reading of ``raw`` has a weight, and whether some reading begins what has one.
@@ -300,15 +317,16 @@ class Model:
         """
         out: Counter = Counter()
         tokens = text.lower().split() if text else []
+        self._look(set(tokens))
         starts, begins, marks, least = self.starts, self.begins, self.marks, PREFIXES[0]
-        distinct = set(tokens)
-        for token in [t for t in distinct if t not in starts]:
-            if len(starts) >= REMEMBERED:
-                starts.clear()
-            starts[token] = self._opening(token)
-        known = {t: starts[t] if t in starts else self._opening(t) for t in distinct}
-        for i in [i for i, (t, following) in enumerate(zip(tokens, tokens[1:])) if following[0] in known[t][1]]:
-            first = known[tokens[i]][0]
+        last = len(tokens) - 1
+        for i in [i for i, t in enumerate(tokens) if t in starts]:
+            first, following = starts[tokens[i]]
+            if i == last or tokens[i + 1][0] not in following:
+                continue
+            piece = tokens[i + 1].strip(_EDGES)
+            if piece.isalpha() and first.isalpha() and (first + piece)[:least] not in begins:
+                continue
             run, raw, j, found = first, first, i + 1, ""
             while j < len(tokens):
                 piece = tokens[j].strip(_EDGES)
@@ -354,21 +372,32 @@ class Model:
             return token_words(self.chars, token)
         return (token,) if token.isalpha() else tuple(_PLAIN.findall(token))
 
+    def _look(self, tokens: set[str]) -> None:
+        """Enters new tokens: in ``known`` those whose words have a weight, in ``starts`` those a word may begin with."""
+        if len(self.seen) >= SEEN:
+            self.seen, self.known, self.starts = set(), {}, {}
+        for token in tokens - self.seen:
+            inner = token.strip(_EDGES)
+            if inner.isalpha() and inner[:PREFIXES[0]] not in self.begins and not _THRICE.search(inner):
+                continue
+            got = {w: x for w in self._words(token) if (x := self.weight(w)) > 0}
+            if got:
+                self.known[token] = got
+            first, following = self._opening(token)
+            if first and following:
+                self.starts[token] = (first, following)
+        self.seen |= tokens
+
     def weighted(self, text: str | None) -> dict[str, float]:
         """Words with a weight, as written, decoded or put together from pieces."""
         if not text:
             return {}
-        low, known = text.lower(), self.known
+        low = text.lower()
         out: dict[str, float] = {}
-        for token in set(low.split()):
-            got = known.get(token)
-            if got is None:
-                got = {w: x for w in self._words(token) if (x := self.weight(w)) > 0}
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[token] = got
-            if got:
-                out.update(got)
+        tokens = set(low.split())
+        self._look(tokens)
+        for token in self.known.keys() & tokens:
+            out.update(self.known[token])
         for word in (*spaced_words(self.chars, low, lambda run: self.spells(run, SPACED)[0]), *self.joined(text)):
             if (x := self.weight(word)) > 0:
                 out[word] = x
@@ -385,16 +414,32 @@ class Model:
         return float(1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * self.strength(text) + self.offset)))))
 
 
+def _gram_counts(words: Counter) -> pd.DataFrame:
+    """What ``trigrams`` counts, for many words at once: windows of three code points packed into one integer."""
+    sizes = np.fromiter((len(w) + 3 for w in words), np.int64, len(words))
+    points = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters of the word from here on
+    inside = np.flatnonzero(left >= 3)
+    grams, at = np.unique(points[inside] << 42 | points[inside + 1] << 21 | points[inside + 2], return_inverse=True)
+    n = np.bincount(at, np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)[inside], len(grams))
+    mask = (1 << 21) - 1
+    return pd.DataFrame({"gram": [chr(g >> 42) + chr(g >> 21 & mask) + chr(g & mask) for g in grams.tolist()], "n": n.astype(np.int64)})
+
+
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        c: Counter = Counter()
+        words: Counter = Counter()
         tokens: Counter = Counter()
         for t in b["text"]:
             tokens.update(t.lower().split())
         for token, n in tokens.items():  # words do not reach over blanks
-            for word in _PLAIN.findall(token):
-                c[word] += n
-        yield pd.DataFrame(list(trigrams(c).items()), columns=["gram", "n"])
+            if token.isalpha():
+                words[token] += n
+            else:
+                for word in _PLAIN.findall(token):
+                    words[word] += n
+        if words:
+            yield _gram_counts(words)
 
 
 def count_letters(texts: DataFrame) -> CharModel:
