@@ -35,6 +35,8 @@ FOLDS = 4
 PREFIXES = (4, 5, 6, 7, 8)
 #: Restored tokens and joined runs remembered in a task; tokens known to be looked at.
 REMEMBERED, SEEN = 200_000, 500_000
+#: Cells of a dense count of trigrams.
+DENSE = 1 << 22
 #: The strongest word of a text counts fully, the next ones count this share each.
 NEXT, NEXT_SHARE = 4, 0.3
 
@@ -155,6 +157,29 @@ def decode(model: CharModel, token: str, gaps: tuple[float, float] | None = None
     return "".join(reversed(out))
 
 
+def comes_out_whole(model: CharModel, run: str, word: str) -> bool:
+    """Whether ``word`` is among the words decoded from pieces with gaps.
+
+    Two pieces of letters that never repeat have two readings, one word or two: their costs
+    are added up in the order of the decoder.
+    """
+    pieces = run.split(" ")
+    if len(pieces) != 2 or not (pieces[0].isalpha() and pieces[1].isalpha()) or any(a == b for p in pieces for a, b in zip(p, p[1:])):
+        return word in decode(model, run, PIECES).split()
+    log = model.log
+    two, one = "^^", 0.0
+    for c in pieces[0]:
+        one += log(two, c)
+        two = two[1] + c
+    parted, at = one + PIECES[1] + log(two, "$"), "^^"
+    one += PIECES[0]
+    for c in pieces[1]:
+        one, parted = one + log(two, c), parted + log(at, c)
+        two, at = two[1] + c, at[1] + c
+    whole = one + log(two, "$") >= parted + log(at, "$")
+    return word == "".join(pieces) if whole else word in pieces
+
+
 def disguised(token: str) -> bool:
     """Whether a lower-case token has letters and something to decode."""
     inner = token.strip(_EDGES)
@@ -315,17 +340,20 @@ class Model:
         of its pieces is decoded as one lattice in which each gap is nothing or the end of a
         word; it counts if the word comes out whole.
         """
-        out: Counter = Counter()
         tokens = text.lower().split() if text else []
         self._look(set(tokens))
+        return self._pieces(tokens)
+
+    def _pieces(self, tokens: list[str]) -> Counter:
+        """``joined`` for tokens that have been looked at."""
+        out: Counter = Counter()
         starts, begins, marks, least = self.starts, self.begins, self.marks, PREFIXES[0]
-        last = len(tokens) - 1
-        for i in [i for i, t in enumerate(tokens) if t in starts]:
-            first, following = starts[tokens[i]]
-            if i == last or tokens[i + 1][0] not in following:
-                continue
-            piece = tokens[i + 1].strip(_EDGES)
-            if piece.isalpha() and first.isalpha() and (first + piece)[:least] not in begins:
+        near = [(i, start[0]) for i, (t, after) in enumerate(zip(tokens, tokens[1:])) if (start := starts.get(t)) and after[0] in start[1]]
+        for i, first in near:
+            piece = tokens[i + 1]
+            if not piece.isalpha():
+                piece = piece.strip(_EDGES)
+            if (first + piece)[:least] not in begins and piece.isalpha() and first.isalpha():
                 continue
             run, raw, j, found = first, first, i + 1, ""
             while j < len(tokens):
@@ -359,7 +387,7 @@ class Model:
                 word = decode(self.chars, raw) if any(self.spells(raw)) and disguised(raw) else ""
             weight = self.weight(word) if word else 0.0
             whole = weight > 0.0 and weight > max(
-                self.weight(p if p.isalpha() else decode(self.chars, p)) for p in run.split(" ")) and word in decode(self.chars, run, PIECES).split()
+                self.weight(p if p.isalpha() else decode(self.chars, p)) for p in run.split(" ")) and comes_out_whole(self.chars, run, word)
             got = (word if whole else "", word in self.begins)
             if len(self.joins) >= REMEMBERED:
                 self.joins.clear()
@@ -394,11 +422,12 @@ class Model:
             return {}
         low = text.lower()
         out: dict[str, float] = {}
-        tokens = set(low.split())
-        self._look(tokens)
-        for token in self.known.keys() & tokens:
+        tokens = low.split()
+        distinct = set(tokens)
+        self._look(distinct)
+        for token in self.known.keys() & distinct:
             out.update(self.known[token])
-        for word in (*spaced_words(self.chars, low, lambda run: self.spells(run, SPACED)[0]), *self.joined(text)):
+        for word in (*spaced_words(self.chars, low, lambda run: self.spells(run, SPACED)[0]), *self._pieces(tokens)):
             if (x := self.weight(word)) > 0:
                 out[word] = x
         return out
@@ -415,15 +444,30 @@ class Model:
 
 
 def _gram_counts(words: Counter) -> pd.DataFrame:
-    """What ``trigrams`` counts, for many words at once: windows of three code points packed into one integer."""
+    """What ``trigrams`` counts, for many words at once: windows of three letters as one integer.
+
+    Few letters are counted in a dense array, many by sorting; the counts are the same.
+    """
     sizes = np.fromiter((len(w) + 3 for w in words), np.int64, len(words))
     points = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters of the word from here on
     inside = np.flatnonzero(left >= 3)
-    grams, at = np.unique(points[inside] << 42 | points[inside + 1] << 21 | points[inside + 2], return_inverse=True)
-    n = np.bincount(at, np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)[inside], len(grams))
-    mask = (1 << 21) - 1
-    return pd.DataFrame({"gram": [chr(g >> 42) + chr(g >> 21 & mask) + chr(g & mask) for g in grams.tolist()], "n": n.astype(np.int64)})
+    n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)[inside]
+    letters = np.flatnonzero(np.bincount(points))
+    width = len(letters)
+    place = np.zeros(letters[-1] + 1, np.int64)
+    place[letters] = np.arange(width)
+    points = place[points]
+    grams = (points[inside] * width + points[inside + 1]) * width + points[inside + 2]
+    if width ** 3 <= DENSE:
+        total = np.bincount(grams, n, width ** 3)
+        grams = np.flatnonzero(total)
+        total = total[grams]
+    else:
+        grams, at = np.unique(grams, return_inverse=True)
+        total = np.bincount(at, n, len(grams))
+    names = [chr(c) for c in letters.tolist()]
+    return pd.DataFrame({"gram": [names[g // width // width] + names[g // width % width] + names[g % width] for g in grams.tolist()], "n": total.astype(np.int64)})
 
 
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

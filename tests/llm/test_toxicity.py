@@ -85,3 +85,25 @@ def test_precision_does_not_depend_on_the_draw(spark):
         seen[bound] = tuple(scored)
     assert seen[300][2] > seen[4000][2] - 0.05 and seen[4000][2] > 0.85 and seen[4000][3] > 0.85 and seen[300][3] > 0.6
     assert all(abs(score - share) < 0.04 for score, share, _, _ in seen.values())
+
+
+def test_two_pieces_come_out_as_the_decoder_says():
+    rng, chars = random.Random(4), T.CharModel.build(WORDS)
+    starts = sorted({w[:n] for w in WORDS for n in range(1, len(w) + 1)} | {"stupp", "1d", "o", "aa"})
+    whole = 0
+    for _ in range(3000):
+        run = " ".join(rng.choice(starts) for _ in range(rng.choice([1, 2, 2, 2, 3])))
+        for word in {run.replace(" ", ""), *run.split(" ")}:
+            got = T.comes_out_whole(chars, run, word)
+            assert got == (word in T.decode(chars, run, T.PIECES).split()), (run, word)
+        whole += T.comes_out_whole(chars, run, run.replace(" ", ""))
+    assert 20 < whole < 3000
+
+
+def test_letter_windows_are_counted_alike_dense_and_sorted(monkeypatch):
+    words = T.Counter({"the": 3, "naïve": 1, "日本": 2, "x": 5, "𝒳y": 1})
+    want = dict(T.trigrams(words))
+    for cells in (T.DENSE, 1):
+        monkeypatch.setattr(T, "DENSE", cells)
+        got = T._gram_counts(words)
+        assert dict(zip(got["gram"], got["n"])) == want
