@@ -35,8 +35,8 @@ FOLDS = 4
 PREFIXES = (4, 5, 6, 7, 8)
 #: Restored tokens and joined runs remembered in a task; tokens known to be looked at.
 REMEMBERED, SEEN = 200_000, 500_000
-#: Cells of a dense count of trigrams.
-DENSE = 1 << 22
+#: Cells of a dense count of trigrams; characters after which the texts held are counted.
+DENSE, CHUNK = 1 << 22, 1 << 19
 #: The strongest word of a text counts fully, the next ones count this share each.
 NEXT, NEXT_SHARE = 4, 0.3
 
@@ -44,6 +44,8 @@ _TOKEN = re.compile(r"\S+")
 _PLAIN = re.compile(r"[^\W\d_]+")
 #: Letters or their disguises one by one, with single separators between.
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£¡*])(?:[ ._\-*]{1,2}(?:[^\W_]|[@$!|+(€£¡*])){2,}(?!\S)")
+#: What every such run begins with; quicker to look for.
+_MAYBE_SPACED = re.compile(r"\s\S[ ._\-*]{1,2}\S[ ._\-*]{1,2}\S(?:[ ._\-*]|(?!\S))")
 _THRICE = re.compile(r"(.)\1\1", re.DOTALL)
 _EDGES = ".,;:?\"'()[]{}<>«»„“”…"
 
@@ -227,6 +229,8 @@ def spaced_words(model: CharModel, low: str, tried: Callable[[str], bool] | None
     """Words written letter by letter in a lower-case text: each run as words, and besides as one word.
 
     ``tried`` says which runs are worth decoding."""
+    if not _MAYBE_SPACED.search(" " + low):
+        return
     for m in _SPACED.finditer(low):
         if tried and not tried(m.group()):
             continue
@@ -406,7 +410,12 @@ class Model:
             self.seen, self.known, self.starts = set(), {}, {}
         for token in tokens - self.seen:
             inner = token.strip(_EDGES)
-            if inner.isalpha() and inner[:PREFIXES[0]] not in self.begins and not _THRICE.search(inner):
+            if inner.isalpha() and not _THRICE.search(inner):
+                if inner[:PREFIXES[0]] in self.begins:
+                    if x := self.weight(inner):
+                        self.known[token] = {inner: x}
+                    if inner in self.begins and token.endswith(inner):
+                        self.starts[token] = self._opening(token)
                 continue
             got = {w: x for w in self._words(token) if (x := self.weight(w)) > 0}
             if got:
@@ -443,47 +452,43 @@ class Model:
         return float(1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * self.strength(text) + self.offset)))))
 
 
-def _gram_counts(words: Counter) -> pd.DataFrame:
-    """What ``trigrams`` counts, for many words at once: windows of three letters as one integer.
+def _gram_counts(text: str) -> Counter:
+    """What ``trigrams`` counts over the words of a lower-case text: windows of three letters as one integer.
 
-    Few letters are counted in a dense array, many by sorting; the counts are the same.
+    Whatever is no letter is 0: a mark before a word, and after it the end. Few different
+    letters are counted in a dense array, many by sorting; the counts are the same.
     """
-    sizes = np.fromiter((len(w) + 3 for w in words), np.int64, len(words))
-    points = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters of the word from here on
-    inside = np.flatnonzero(left >= 3)
-    n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)[inside]
-    letters = np.flatnonzero(np.bincount(points))
-    width = len(letters)
-    place = np.zeros(letters[-1] + 1, np.int64)
-    place[letters] = np.arange(width)
-    points = place[points]
-    grams = (points[inside] * width + points[inside + 1]) * width + points[inside + 2]
+    points = np.frombuffer(f"  {text} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    present = np.flatnonzero(np.bincount(points)).tolist()
+    letters = [c for c in present if _PLAIN.match(chr(c))]
+    code = np.zeros(present[-1] + 1, np.int64)
+    code[letters] = np.arange(1, len(letters) + 1)
+    s, width = code[points], len(letters) + 1
+    before, last = s[:-2] * (s[1:-1] > 0), s[1:-1]
+    grams = ((before * width + last) * width + s[2:])[(last > 0) | (s[2:] > 0)]
     if width ** 3 <= DENSE:
-        total = np.bincount(grams, n, width ** 3)
-        grams = np.flatnonzero(total)
-        total = total[grams]
+        n = np.bincount(grams, minlength=1)
+        grams = np.flatnonzero(n)
+        n = n[grams]
     else:
-        grams, at = np.unique(grams, return_inverse=True)
-        total = np.bincount(at, n, len(grams))
-    names = [chr(c) for c in letters.tolist()]
-    return pd.DataFrame({"gram": [names[g // width // width] + names[g // width % width] + names[g % width] for g in grams.tolist()], "n": total.astype(np.int64)})
+        grams, n = np.unique(grams, return_counts=True)
+    start, end = ["^", *map(chr, letters)], ["$", *map(chr, letters)]
+    return Counter({start[g // width // width] + start[g // width % width] + end[g % width]: k for g, k in zip(grams.tolist(), n.tolist())})
 
 
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        words: Counter = Counter()
-        tokens: Counter = Counter()
+        counts: Counter = Counter()
+        held, size = [], 0
         for t in b["text"]:
-            tokens.update(t.lower().split())
-        for token, n in tokens.items():  # words do not reach over blanks
-            if token.isalpha():
-                words[token] += n
-            else:
-                for word in _PLAIN.findall(token):
-                    words[word] += n
-        if words:
-            yield _gram_counts(words)
+            held.append(t.lower())
+            size += len(t)
+            if size >= CHUNK:
+                counts.update(_gram_counts("\n".join(held)))
+                held, size = [], 0
+        if held:
+            counts.update(_gram_counts("\n".join(held)))
+        yield pd.DataFrame(list(counts.items()), columns=["gram", "n"])
 
 
 def count_letters(texts: DataFrame) -> CharModel:

@@ -101,9 +101,16 @@ def test_two_pieces_come_out_as_the_decoder_says():
 
 
 def test_letter_windows_are_counted_alike_dense_and_sorted(monkeypatch):
-    words = T.Counter({"the": 3, "naïve": 1, "日本": 2, "x": 5, "𝒳y": 1})
-    want = dict(T.trigrams(words))
+    text = "the naïve the\t日本. x x,x _x9y 𝒳y the\n日本 '' ^$ x"
+    want = T.trigrams(T.Counter(T._PLAIN.findall(text)))
     for cells in (T.DENSE, 1):
         monkeypatch.setattr(T, "DENSE", cells)
-        got = T._gram_counts(words)
-        assert dict(zip(got["gram"], got["n"])) == want
+        assert T._gram_counts(text) == want
+    assert not T._gram_counts("") and not T._gram_counts(" 12 _ ")
+
+
+def test_runs_of_single_letters_are_never_passed_over():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab *._-\n\t@1,") for _ in range(rng.randrange(1, 14))) for _ in range(30000)]
+    found = [t for t in texts if T._SPACED.search(t)]
+    assert len(found) > 100 and all(T._MAYBE_SPACED.search(" " + t) for t in found)
