@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.values import canon_str, numeric_of
 from tablescope.operators.metrics import confidence_from_scores
-from tablescope.operators.ordering import hash_order, number_rows
 from tablescope.operators.prepare import Dictionary, Preprocessor
 from tablescope.plans.roles import PrepSpec
 from tablescope.session import materialize, small
@@ -27,6 +26,8 @@ from tablescope.session import materialize, small
 # Algorithm names.
 ALGORITHMS = ("random_forest", "gradient_boosting", "svm", "logistic_regression", "linear_regression")
 
+#: Rows of a bucket within which permutation importance exchanges values.
+EXCHANGE = 1024
 TREES = 100
 MAX_DEPTH = 10
 ROUNDS = 100
@@ -250,8 +251,10 @@ def feature_importance(
 
     ``names`` has one entry per position of the feature vector (``Preprocessor.positions``).
 
-    Rows are numbered in hash order once; a repeat pairs every row with the one a random
-    shift away, and all features are scored in the same pass.
+    Rows are dealt to buckets of about ``EXCHANGE`` by a hash of the key, so the result does not
+    depend on how the table is partitioned. Within its bucket a row takes the values of one a hashed
+    shift away, another shift in each repeat; all features and repeats are scored in one pass
+    behind that one shuffle.
     """
     spark = vectors.sparkSession
     found = model.importances()
@@ -259,27 +262,31 @@ def feature_importance(
         if len(found) != len(names):
             raise ValueError(f"{len(names)} names for a vector of {len(found)} positions")
         return _ranked(spark, [(n, float(s)) for n, s in zip(names, found)])
-    base = vectors.select(*key, "features", F.col(f"`{model.label}`").alias("_label"))
-    rows = number_rows(base, [hash_order(key, seed), *key], "_n").drop(*key)
-    total = rows.count()
-    plain = _score(model, rows.withColumn("_f", F.lit(-1)))
-    rng = np.random.default_rng(seed)
-    parts = []
-    for _ in range(repeats):
-        shift = int(rng.integers(1, max(2, total)))
-        other = rows.select((F.pmod(F.col("_n") - 1 + shift, F.lit(total)) + 1).alias("_n"), F.col("features").alias("_other"))
-        paired = rows.join(other, "_n").withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-        mixed = F.zip_with(
-            F.transform(vector_to_array("features"), lambda v, i: F.struct(v.alias("v"), i.alias("i"))), vector_to_array("_other"),
-            lambda a, b: F.when(a["i"] == F.col("_f"), b).otherwise(a["v"]),
-        )
-        parts.append(_score(model, paired.withColumn("features", array_to_vector(mixed)).drop("_other")))
-    lost: dict[int, float] = {}
-    best = plain.first()["score"]
-    for part in parts:
-        for r in part.collect():  # one row per feature
-            lost[r["_f"]] = lost.get(r["_f"], 0.0) + (best - r["score"]) / repeats
-    return _ranked(spark, [(n, max(0.0, float(lost[i]))) for i, n in enumerate(names)])
+    mixed = _exchanged(vectors, model.label, key, len(names), repeats, seed)
+    scores = {(r["_r"], r["_f"]): r["score"] for r in _score(model, mixed).collect()}  # one row per feature and repeat
+    plain = scores.get((-1, -1), 0.0)
+    lost = [sum(plain - scores.get((r, f), plain) for r in range(repeats)) / repeats for f in range(len(names))]
+    return _ranked(spark, [(n, max(0.0, float(x))) for n, x in zip(names, lost)])
+
+
+def _exchanged(vectors: DataFrame, label: str, key: Sequence[str], width: int, repeats: int, seed: int) -> DataFrame:
+    """Every row once as it is (_r and _f are -1), and once per repeat and feature with that value exchanged."""
+    buckets = max(1, -(-vectors.count() // EXCHANGE))
+    keys = [F.col(f"`{c}`") for c in key]
+    rows = vectors.select(
+        F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets)).alias("_b"),
+        F.struct(F.struct(F.xxhash64(F.lit(seed), *keys), *keys).alias("at"), F.col(f"`{label}`").alias("label"), vector_to_array("features").alias("x")).alias("row"))
+    dealt = rows.groupBy("_b").agg(F.array_sort(F.collect_list("row")).alias("rows")).withColumn("_n", F.size("rows"))
+    shifts = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.when(
+        F.col("_n") > 1, F.pmod(F.xxhash64("_b", r, F.lit(seed)), F.col("_n") - 1) + 1).otherwise(0).cast("int"))
+    dealt = dealt.withColumn("_shifts", shifts).select(F.explode(F.transform("rows", lambda row, i: F.struct(
+        row["label"].alias("_label"), row["x"].alias("x"),
+        F.transform("_shifts", lambda s: F.get(F.col("rows"), F.pmod(i + s, F.col("_n")))["x"]).alias("others")))).alias("row")).select("row.*")
+    cells = F.expr(f"transform(sequence(0, {repeats * width} - 1), c -> struct(cast(c div {width} AS int) AS _r, c % {width} AS _f))")
+    spread = dealt.withColumn("cell", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("_r"), F.lit(-1).alias("_f"))), cells))).select("*", "cell.*")
+    other = F.get("others", F.col("_r"))
+    taken = F.when(F.col("_f") < 0, F.col("x")).otherwise(F.transform("x", lambda v, i: F.when(i == F.col("_f"), F.get(other, i)).otherwise(v)))
+    return spread.select("_label", "_r", "_f", array_to_vector(taken).alias("features"))
 
 
 def _ranked(spark: SparkSession, scores: list[tuple[str, float]]) -> DataFrame:
@@ -287,10 +294,10 @@ def _ranked(spark: SparkSession, scores: list[tuple[str, float]]) -> DataFrame:
 
 
 def _score(model: FittedModel, rows: DataFrame) -> DataFrame:
-    """Accuracy or R2 per ``_f``."""
+    """Accuracy or R2 per repeat and feature."""
     scored = model.score_vectors(rows)
     if model.task == "classification":
         hit = (canon_str(F.col("_label")) == F.col("_predicted_class")).cast("double")
-        return scored.groupBy("_f").agg(F.avg(hit).alias("score"))
+        return scored.groupBy("_r", "_f").agg(F.avg(hit).alias("score"))
     y, away = F.col("_label").cast("double"), F.col("_label").cast("double") - F.col("_predicted_value")
-    return scored.groupBy("_f").agg((F.lit(1.0) - F.avg(away * away) / F.var_pop(y)).alias("score"))
+    return scored.groupBy("_r", "_f").agg((F.lit(1.0) - F.avg(away * away) / F.var_pop(y)).alias("score"))

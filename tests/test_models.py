@@ -81,6 +81,28 @@ def test_importance(table):
     assert got["a"] > got["b"] >= 0
 
 
+def test_exchanged_values_stay_in_their_column_and_bucket(spark, monkeypatch):
+    """Each repeat is a permutation of every column, however the table is partitioned; one shuffle does all."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    monkeypatch.setattr(K, "EXCHANGE", 40)
+    rows = spark.range(300).select("id", (F.col("id") % 5).alias("y"), array_to_vector(F.array(F.col("id") * 1.0, F.col("id") * 10.0)).alias("features"))
+    seen = []
+    for parts in (1, 7):
+        mixed = K._exchanged(rows.repartition(parts), "y", ["id"], 2, 3, 42)
+        got = mixed.select("_label", "_r", "_f", vector_to_array("features").alias("x")).toPandas()
+        assert len(got) == 300 * (1 + 3 * 2)
+        for (r, f), g in got.groupby(["_r", "_f"]):
+            assert sorted(x[0] for x in g["x"]) == [float(i) for i in range(300)] and sorted(x[1] for x in g["x"]) == [10.0 * i for i in range(300)]
+            kept = sum(x[1] == 10 * x[0] for x in g["x"])
+            assert kept == (300 if r < 0 else 0)
+        seen.append(sorted((r, f, y, *x) for y, r, f, x in zip(got["_label"], got["_r"], got["_f"], got["x"])))
+    assert seen[0] == seen[1]
+    assert mixed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(_b") == 1
+    one = K._exchanged(rows.limit(1), "y", ["id"], 2, 3, 42)
+    assert one.count() == 7 and K._exchanged(rows.limit(0), "y", ["id"], 2, 3, 42).isEmpty()
+
+
 def test_prepare(table):
     out = W.prepare(table, ROLES, PrepSpec(), order_by=["id"], **FAST)
     rows = out.rows.toPandas()
