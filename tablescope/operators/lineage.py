@@ -5,6 +5,7 @@ Cells are rows (sheet, address, formula, value); a cell's key is ``sheet!A1``.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ SUPPORTED = (
 )
 _CALL = r"([A-Z][A-Z0-9_]*)\s*\("
 
+TASK_EDGES = 500_000
+
 
 def column_index(label: Column) -> Column:
     """A -> 0, Z -> 25, AA -> 26. Up to three letters by plain arithmetic, longer ones by a fold."""
@@ -103,16 +106,18 @@ def _references(cells: DataFrame) -> DataFrame:
     parsed = tokens.select(
         "cell", sheet.alias("_sheet"), "_ref", F.col("_ref").contains(":").alias("_wide"), r1.alias("r1"), c1.alias("c1"), r2.alias("r2"), c2.alias("c2")
     )
-    return parsed.join(widths, "_sheet").filter(F.least("c1", "c2") <= F.col("_last"))
+    # one row a sheet is hashed in each task; the references, however many, stream past it unsorted
+    return parsed.join(widths.hint("shuffle_hash"), "_sheet").filter(F.least("c1", "c2") <= F.col("_last"))
 
 
 def formula_dependencies(cells: DataFrame) -> DataFrame:
     """Edges (cell, depends_on). Ranges are expanded; unknown sheets and columns are ignored.
 
     One edge for each cell of each range: for a few cells, or where they are asked for. Long
-    ranges have a short form, ``formula_graph``.
+    ranges have a short form, ``formula_graph``. Edges are counted first and dealt unfolded to tasks
+    of about ``TASK_EDGES``, each of which keeps one of every copy.
     """
-    known = _references(cells)
+    known = materialize(_references(cells))
     rows = F.sequence(F.least("r1", "r2"), F.greatest("r1", "r2"))
     cols = F.sequence(F.least("c1", "c2"), F.least(F.greatest("c1", "c2"), F.col("_last")))
     # a single cell keeps its text; a range becomes rows first, then the columns of each row
@@ -120,7 +125,9 @@ def formula_dependencies(cells: DataFrame) -> DataFrame:
     by_cell = by_row.select("cell", "_sheet", "_ref", "_wide", "_r", F.explode(F.when(F.col("_wide"), F.col("_cols")).otherwise(F.slice("_cols", 1, 1))).alias("_c"))
     at = F.when(F.col("_wide"), to_address(F.col("_r"), F.col("_c"))).otherwise(F.col("_ref"))
     spread = by_cell.select("cell", "_sheet", at.alias("at"))
-    return spread.select("cell", cell_key(F.col("_sheet"), F.col("at")).alias("depends_on")).distinct()
+    many = F.when(F.col("_wide"), (F.abs(F.col("r2") - F.col("r1")) + 1) * F.size(cols).cast("bigint")).otherwise(1)
+    tasks = max(1, math.ceil((known.agg(F.sum(many)).first()[0] or 0) / TASK_EDGES))
+    return spread.select("cell", cell_key(F.col("_sheet"), F.col("at")).alias("depends_on")).repartition(tasks, "cell", "depends_on").distinct()
 
 
 #: Rows of a block, blocks of a larger block and so on, and how many sizes of blocks there are.
@@ -195,7 +202,8 @@ def formula_graph(cells: DataFrame) -> DataFrame:
 
 def dependents_of(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """Direct dependents of the cells in ``keys`` (column ``cell``)."""
-    return edges.join(keys.select(F.col("cell").alias("depends_on")).distinct(), "depends_on", "left_semi")
+    asked = keys.select(F.col("cell").alias("depends_on")).distinct()
+    return edges.join(asked.hint("shuffle_hash"), "depends_on", "left_semi")
 
 
 def dependencies_of(edges: DataFrame, keys: DataFrame) -> DataFrame:
