@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablescope.catalog import read
 from tablescope.operators import lineage as G
+from tablescope.operators.ordering import number_within
 
 C, L = F.col, F.lit
 
@@ -185,9 +186,7 @@ _CATALOG_SQL = f"""WITH {_CELLS}, x AS (SELECT sheet, n, r, address, CASE WHEN a
 
 def _sheets(s, d):
     """Cell table of one sheet per order priority, with typed, mixed, sparse, unnamed and repeated columns."""
-    from pyspark.sql import Window as W
-
-    orders = read(s, d, "orders").withColumn("row", F.row_number().over(W.partitionBy("o_orderpriority").orderBy("o_orderkey")))
+    orders = number_within(read(s, d, "orders"), "o_orderpriority", ["o_orderkey"], "row")
     k = C("o_orderkey")
     day = F.date_diff(C("o_orderdate").cast("date"), L("1899-12-30").cast("date")).cast("string")
     filled = [

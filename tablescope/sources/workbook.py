@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ _DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *rang
 
 _BATCH = 50_000
 PREVIEW_ROWS = 10
+TASK_CELLS = 500_000
 
 # What a column's values may be; the kinds of all its values are or-ed together.
 _WHOLE, _FRACTION, _LOGIC, _DATE, _TEXT = 1, 2, 4, 8, 16
@@ -199,7 +201,10 @@ def typed_sheet(cells: DataFrame, path: str, sheet: str) -> DataFrame:
     picks = [F.max(F.when(F.col("col") == c["col"], value)).alias(f"_{c['col']}") for c in columns]
     if not picks:
         return own.select(F.col("row").cast("bigint").alias("_row_id"))
-    rows = own.filter("row > 0").groupBy(F.col("row").cast("bigint").alias("_row_id")).agg(*picks)
+    # rows are dealt before they are put together, to tasks of a bounded number of cells
+    count = columns[0]["row_count"] + sum(c["row_count"] - c["missing_count"] for c in columns)
+    numbered = own.filter("row > 0").withColumn("_row_id", F.col("row").cast("bigint"))
+    rows = numbered.repartition(max(1, math.ceil(count / TASK_CELLS)), "_row_id").groupBy("_row_id").agg(*picks)
     return rows.select("_row_id", *[_typed(F.col(f"_{c['col']}"), c["inferred_type"]).alias(c["name"]) for c in columns])
 
 

@@ -1,16 +1,29 @@
 """Work of one task stays bounded however much a sheet or a table holds."""
 
+import math
 from collections import Counter
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescope.catalog import lineage as Q
 from tablescope.operators import lineage as G
+from tablescope.operators import ordering as O
+from tablescope.sources import workbook as B
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def cell_table(spark, rows, cols=3):
+    body = spark.range(rows + 1).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
+    return body.select(
+        F.lit("book").alias("path"), F.lit("S").alias("sheet"), "row", "col", G.to_address(F.col("row"), F.col("col")).alias("address"),
+        F.when(F.col("row") == 0, F.concat(F.lit("h"), "col")).otherwise((F.col("row") * 10 + F.col("col")).cast("string")).alias("value"),
+        F.lit(None).cast("string").alias("formula"), F.when(F.col("row") == 0, "s").otherwise("n").alias("kind"))
+
+
 def test_edges_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(G, "TASK_EDGES", 20)
     made = [("S", f"A{r}", None) for r in range(1, 41)] + [("S", f"B{r}", f"=SUM(A1:A{r})+A1+S!A{r}") for r in range(1, 41)]
@@ -28,3 +41,17 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
 def test_edges_of_no_formula(spark):
     cells = spark.createDataFrame([("S", "A1", None)], "sheet string, address string, formula string")
     assert G.formula_dependencies(cells).count() == 0
+
+
+def test_typed_rows_are_dealt_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(B, "TASK_CELLS", 50, raising=False)
+    table = B.typed_sheet(cell_table(spark, 100), "book", "S")
+    assert table.rdd.getNumPartitions() == math.ceil((100 + 300) / 50)
+    assert sorted(map(tuple, table.collect())) == [(r, r * 10, r * 10 + 1, r * 10 + 2) for r in range(1, 101)]
+
+
+def test_sheets_are_numbered_without_a_task_per_sheet(spark, sf):
+    assert "Window" not in plan_of(Q._sheets(spark, sf))
+    rows = spark.range(500).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 7 == 0, "b").otherwise("a").alias("g"), F.xxhash64("id").alias("k"))
+    want = rows.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("k")))
+    assert sorted(map(str, O.number_within(rows, "g", ["k"], "n").collect())) == sorted(map(str, want.collect()))
