@@ -160,10 +160,14 @@ def sheet_columns(cells: DataFrame) -> DataFrame:
     """
     value = _known(F.col("value"), F.col("kind"))
     data = F.col("row") > 0
-    folded = cells.groupBy("path", "sheet", "col").agg(
+    # the header is a key first: states of fixed width are hashed, a text among them would sort all cells
+    # (and so would max(header), where Spark finds the first grouping redundant)
+    by_header = cells.groupBy("path", "sheet", "col", F.when(~data, F.col("value")).alias("header")).agg(
         F.max("row").alias("last"), F.count(F.when(data, value)).alias("filled"),
-        F.bit_or(F.when(data, _kind_bit(value, F.col("kind"))).otherwise(0)).alias("kinds"), F.max(F.when(~data, F.col("value"))).alias("header"),
+        F.bit_or(F.when(data, _kind_bit(value, F.col("kind"))).otherwise(0)).alias("kinds"),
     )
+    folded = by_header.groupBy("path", "sheet", "col").agg(
+        F.max("last").alias("last"), F.sum("filled").alias("filled"), F.bit_or("kinds").alias("kinds"), F.array_max(F.collect_list("header")).alias("header"))
     sheets = folded.groupBy("path", "sheet").agg(F.max("last").cast("bigint").alias("row_count"), F.max("col").alias("width"))
     slots = sheets.select("path", "sheet", "row_count", F.explode(F.sequence(F.lit(0), "width")).alias("col"))
     placed = slots.join(folded.drop("last"), ["path", "sheet", "col"], "left")

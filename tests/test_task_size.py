@@ -50,6 +50,15 @@ def test_typed_rows_are_dealt_by_cells(spark, monkeypatch):
     assert sorted(map(tuple, table.collect())) == [(r, r * 10, r * 10 + 1, r * 10 + 2) for r in range(1, 101)]
 
 
+def test_column_catalog_sorts_no_cells(spark):
+    columns = B.sheet_columns(cell_table(spark, 100))
+    for names in columns, columns.select("name"):
+        lowest = [line for line in plan_of(names).splitlines() if "Aggregate" in line][-1]
+        assert "HashAggregate" in lowest and "ObjectHash" not in lowest
+    assert [tuple(r) for r in columns.select("name", "inferred_type", "missing_count", "row_count").orderBy("col").collect()] == [
+        (f"h{i}", "bigint", 0, 100) for i in range(3)]
+
+
 def test_sheets_are_numbered_without_a_task_per_sheet(spark, sf):
     assert "Window" not in plan_of(Q._sheets(spark, sf))
     rows = spark.range(500).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 7 == 0, "b").otherwise("a").alias("g"), F.xxhash64("id").alias("k"))
