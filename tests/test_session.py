@@ -29,3 +29,23 @@ def test_folder_that_loses_rows_is_refused(cluster, monkeypatch):
     monkeypatch.setattr(type(cluster), "range", lambda s, a, b=None, *rest: made(a, b, *rest).filter("id <> 2"))
     with pytest.raises(ValueError, match="do not come back"):
         S.shared_folder(cluster)
+
+
+def test_unset_folder_on_a_cluster_is_one_in_the_warehouse(spark, monkeypatch, tmp_path):
+    own = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": str(tmp_path)}
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda conf, key, *rest: own[key] if key in own else get(conf, key, *rest))
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    for master in ("spark://driver:7077", "local-cluster[3,4,4096]"):
+        monkeypatch.setattr(spark.sparkContext, "master", master)
+        rows = S.materialize(spark.range(100))
+        assert rows.count() == 100 and all(f"{tmp_path}/tablescope-steps/" in f for f in rows.inputFiles())
+    assert len(os.listdir(tmp_path / "tablescope-steps")) == 3  # tried once
+
+
+def test_folder_that_loses_rows_is_refused_on_a_local_cluster(cluster, monkeypatch):
+    monkeypatch.setattr(cluster.sparkContext, "master", "local-cluster[3,4,4096]")
+    made = cluster.range
+    monkeypatch.setattr(type(cluster), "range", lambda s, a, b=None, *rest: made(a, b, *rest).filter("id <> 2"))
+    with pytest.raises(ValueError, match="do not come back"):
+        S.shared_folder(cluster)
