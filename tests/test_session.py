@@ -3,6 +3,8 @@
 import os
 
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from tablescope import session as S
 
@@ -49,3 +51,16 @@ def test_folder_that_loses_rows_is_refused_on_a_local_cluster(cluster, monkeypat
     monkeypatch.setattr(type(cluster), "range", lambda s, a, b=None, *rest: made(a, b, *rest).filter("id <> 2"))
     with pytest.raises(ValueError, match="do not come back"):
         S.shared_folder(cluster)
+
+
+def test_small_tables_start_no_python_workers(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, 1.5D, 'x', true, DATE'2020-01-01', 1.25BD), (NULL, NULL, NULL, NULL, NULL, NULL) t(a, b, c, d, e, f)")
+    back = S.small(rows)
+    assert "PythonRDD" not in back._jdf.queryExecution().toRdd().toDebugString()
+    assert back.schema == rows.schema and back.orderBy("a").collect() == rows.orderBy("a").collect()
+    assert S.small(rows.limit(0)).collect() == [] and S.small(rows, 1) is rows
+
+
+def test_small_keeps_vectors_and_structs(spark):
+    rows = spark.range(2).select(array_to_vector(F.array(F.lit(1.0))).alias("v"), F.when(F.col("id") > 0, F.struct(F.lit(1), F.array("id"))).alias("s"))
+    assert S.small(rows).collect() == rows.collect()
