@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablescope import session as S
+from tablescope.catalog import all_queries
 
 
 @pytest.fixture()
@@ -53,6 +54,12 @@ def test_folder_that_loses_rows_is_refused_on_a_local_cluster(cluster, monkeypat
         S.shared_folder(cluster)
 
 
+@pytest.mark.parametrize("name", ["dbscan"])
+def test_queries_take_a_plain_folder_on_a_cluster(name, cluster, sf, tmp_path):
+    rows = all_queries()[name][0](cluster, sf)
+    assert rows.count() > 0 and os.listdir(tmp_path)
+
+
 def test_small_tables_start_no_python_workers(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, 1.5D, 'x', true, DATE'2020-01-01', 1.25BD), (NULL, NULL, NULL, NULL, NULL, NULL) t(a, b, c, d, e, f)")
     back = S.small(rows)
