@@ -54,7 +54,7 @@ def test_folder_that_loses_rows_is_refused_on_a_local_cluster(cluster, monkeypat
         S.shared_folder(cluster)
 
 
-@pytest.mark.parametrize("name", ["boundary_snapshot_points", "cluster_flow", "dbscan", "dbscan_customers", "dbscan_embeddings"])
+@pytest.mark.parametrize("name", ["boundary_snapshot_grid", "boundary_snapshot_points", "cluster_flow", "dbscan", "dbscan_customers", "dbscan_embeddings"])
 def test_queries_take_a_plain_folder_on_a_cluster(name, cluster, sf, tmp_path):
     rows = all_queries()[name][0](cluster, sf)
     assert rows.count() > 0 and os.listdir(tmp_path)
